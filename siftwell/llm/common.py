@@ -199,11 +199,12 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nda
 
 def distinct_by_text(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of each text, and each text's first, total at the end."""
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
+    h = h.copy()
+    for i in range(len(first) - 1):
+        h[first[i] : first[i + 1]].sort()
     keep = np.ones(len(h), bool)
-    if len(h):
-        keep[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner = h[keep], owner[keep]
-    return h, np.searchsorted(owner, np.arange(len(first)))
+    keep[1:] = h[1:] != h[:-1]
+    keep[first[:-1][np.diff(first) > 0]] = True
+    at = np.zeros(len(h) + 1, np.int64)
+    np.cumsum(keep, out=at[1:])
+    return h[keep], at[first]

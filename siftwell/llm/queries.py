@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing
+from . import decontam, langid, neardup, packing
 from .quality import quality_metrics
 from .secrets import secret_spans
 
@@ -21,6 +21,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, F.col("doc_id"), held_out.alias("held_out"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_metrics(_read(spark, sf_dir, "documents"))
 
@@ -35,4 +39,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_quality_rules, op7_secret_scans, op8_best_fit_packing)}
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_benchmark_decontamination, op4_quality_rules, op7_secret_scans, op8_best_fit_packing, op9_minhash_near_dedup)
+}
