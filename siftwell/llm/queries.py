@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, packing
+from . import decontam, langid, neardup, packing, repeats
 from .quality import quality_metrics
 from .secrets import secret_spans
 
@@ -43,7 +43,11 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_read(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_benchmark_decontamination, op4_quality_rules, op7_secret_scans, op8_best_fit_packing, op9_minhash_near_dedup)
+    for f in (op1_language_id, op2_benchmark_decontamination, op4_quality_rules, op7_secret_scans, op8_best_fit_packing, op9_minhash_near_dedup, op10_suffix_array_dedup)
 }
