@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, packing, repeats
+from . import chat, decontam, langid, neardup, packing, repeats, warc
 from .quality import quality_metrics
 from .secrets import secret_spans
 
@@ -25,10 +25,21 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.render(chat.fold(chat.messages(rows))))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_metrics(_read(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_histories(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(_read(spark, sf_dir, "documents"))
 
@@ -49,5 +60,5 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_benchmark_decontamination, op4_quality_rules, op7_secret_scans, op8_best_fit_packing, op9_minhash_near_dedup, op10_suffix_array_dedup)
+    for f in (op1_language_id, op2_benchmark_decontamination, op3_chat_formatting, op4_quality_rules, op5_warc, op7_secret_scans, op8_best_fit_packing, op9_minhash_near_dedup, op10_suffix_array_dedup)
 }
