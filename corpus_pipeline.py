@@ -1,4 +1,8 @@
-"""A corpus pipeline over `documents`: quality rules, near-duplicates, decontamination, secrets, packing."""
+"""A corpus pipeline over `documents`: quality rules, near-duplicates, decontamination, secrets, packing.
+
+Near-duplicates are sets of five-word shingles with a similarity of 0.8 or more; a benchmark item is found in a document
+that has at least 0.8 of its five-word shingles.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from siftwell.llm.common import materialize
+from siftwell.llm.decontam import decontaminate
+from siftwell.llm.neardup import drop_near_duplicates
 from siftwell.llm.packing import pack_documents
 from siftwell.llm.quality import quality_filter
 from siftwell.llm.secrets import redact
@@ -15,12 +21,22 @@ ORACLE_SQL: str | None = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """The documents that the quality rules keep."""
     return quality_filter(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    return drop_near_duplicates(docs, k=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that contain no benchmark item."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, percent=80)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, secrets replaced by a mark."""
+    """Every document, its secrets replaced by a mark."""
     return redact(docs)
 
 
@@ -31,7 +47,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality rules", quality), ("secret scans", secrets), ("best-fit packing", packing)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality), ("MinHash near-dedup", near_duplicates), ("benchmark decontamination", decontamination), ("secret scans", secrets), ("best-fit packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, neardup, packing, repeats, warc
+from . import chat, decontam, html, langid, neardup, packing, repeats, warc
 from .quality import quality_metrics
 from .secrets import secret_spans
 
@@ -40,6 +40,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_histories(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(_read(spark, sf_dir, "documents"))
 
@@ -60,5 +64,5 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_benchmark_decontamination, op3_chat_formatting, op4_quality_rules, op5_warc, op7_secret_scans, op8_best_fit_packing, op9_minhash_near_dedup, op10_suffix_array_dedup)
+    for f in (op1_language_id, op2_benchmark_decontamination, op3_chat_formatting, op4_quality_rules, op5_warc, op6_html_extraction, op7_secret_scans, op8_best_fit_packing, op9_minhash_near_dedup, op10_suffix_array_dedup)
 }
