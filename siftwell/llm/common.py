@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import shutil
 import tempfile
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
@@ -65,7 +66,7 @@ _shipped: set[str] = set()
 
 def prepare(spark: SparkSession) -> None:
     """Before Python tasks: send this package to the executors once, and bound the rows of an Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
@@ -83,6 +84,15 @@ def tasks_for(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / per_task))
 
 
+def give_back() -> None:
+    """At the end of a task: free memory goes back to the machine, since its Python worker stays for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        return
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):

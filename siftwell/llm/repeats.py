@@ -27,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powered, materialize, mix64, prepare, steps, tasks_for, utf8
+from .common import _powered, give_back, materialize, mix64, prepare, steps, tasks_for, utf8
 from .suffixes import permuted_lcp, suffix_array
 
-GRAM, FLUSH = 16, 1_500_000
+GRAM, FLUSH, STEP, PER_SHARD = 16, 150_000, 1 << 17, 8_000
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
@@ -88,6 +89,26 @@ def _merged(doc: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
     return doc[first], lo[first], reach[np.append(first[1:], len(doc)) - 1] - far[first]
 
 
+def _late(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which records have the key and context of a document with a smaller id."""
+    order = np.argsort(key)
+    k = key[order]
+    same = k[1:] == k[:-1]
+    some = order[np.append(False, same) | np.append(same, False)]
+    late = np.zeros(len(key), bool)
+    if len(some):
+        some = some[np.lexsort((doc[some], ctx[some], key[some]))]
+        new = np.append(True, (key[some][1:] != key[some][:-1]) | (ctx[some][1:] != ctx[some][:-1]))
+        late[some] = doc[some] > doc[some][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return late
+
+
+def _numbered(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of equal ids as (ids, number of the run)."""
+    new = np.append(True, doc[1:] != doc[:-1]) if len(doc) else np.zeros(0, bool)
+    return doc[new], np.cumsum(new) - 1
+
+
 _SENT = "bucket int, docs array<bigint>, of binary, key binary, ctx binary, lo binary, width binary"
 
 
@@ -102,22 +123,18 @@ def _collect(size: int, buckets: int):
                 return
             doc, key, ctx, lo, end = (np.concatenate(x) for x in zip(*held, strict=True))
             held, n, turn = [], 0, turn + 1
-            order = np.lexsort((doc, ctx, key))
-            doc, key, ctx, lo, end = doc[order], key[order], ctx[order], lo[order], end[order]
-            new = np.append(True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1]))
-            least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            late = doc > least
+            late = _late(key, ctx, doc)
             out: list[tuple] = []
             if late.any():
                 d, a, e = _merged(doc[late], lo[late], end[late])
-                out.append((turn % buckets, *np.unique(d, return_inverse=True), None, None, a, e - a))
+                out.append((turn % buckets, *_numbered(d), None, None, a, e - a))
             doc, key, ctx, lo, width = (x[~late] for x in (doc, key, ctx, lo, end - lo))
-            bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.lexsort((lo, doc, bucket))
+            bucket = (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint32)
+            order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")  # in a bucket, documents stay together
             doc, key, ctx, lo, width, bucket = (x[order] for x in (doc, key, ctx, lo, width, bucket))
-            at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            for a, e in zip(at.tolist(), [*at[1:].tolist(), len(doc)], strict=True):
-                out.append((int(bucket[a]), *np.unique(doc[a:e], return_inverse=True), key[a:e].astype(np.uint32), ctx[a:e], lo[a:e], width[a:e]))
+            at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+            for a, e in zip(at.tolist(), [*at[1:].tolist(), len(doc)], strict=False):
+                out.append((int(bucket[a]), *_numbered(doc[a:e]), key[a:e].astype(np.uint32), ctx[a:e], lo[a:e], width[a:e]))
             for rows in (out[i : i + 64] for i in range(0, len(out), 64)):
                 packed = lambda c, t: pa.array([None if r[c] is None else r[c].astype(t).tobytes() for r in rows], pa.binary())  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
@@ -128,7 +145,7 @@ def _collect(size: int, buckets: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = utf8(batch.column(1))
-            for lo, hi in steps(offsets):
+            for lo, hi in steps(offsets, STEP):
                 owner, *rest = _anchors(data, offsets[lo : hi + 1], size)
                 if len(owner):
                     held.append((ids[lo + owner], *rest))
@@ -136,6 +153,7 @@ def _collect(size: int, buckets: int):
                 if n >= FLUSH:
                     yield from flush()
         yield from flush()
+        give_back()
 
     return collect
 
@@ -148,14 +166,28 @@ def _meet(table: pa.Table) -> pa.Table:
     out: list[tuple] = []
     kept: list[tuple] = []
     bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
-    for r in zip(*(table.column(c) for c in ("docs", "of", "key", "ctx", "lo", "width")), strict=True):
-        doc = np.array(r[0].values, np.int64)[np.frombuffer(r[1].as_py(), np.uint32)]
-        lo = np.frombuffer(r[4].as_py(), np.uint32).astype(np.int64)
-        end = lo + np.frombuffer(r[5].as_py(), np.uint32)
-        if r[2].as_py() is None:
-            out.append((doc, lo, end))
-        else:
-            kept.append((doc, np.frombuffer(r[2].as_py(), np.uint32), np.frombuffer(r[3].as_py(), np.uint64), lo, end))
+    is_key = table.column("key").is_valid()
+    rows = table.filter(is_key)
+    keys = [np.frombuffer(x.as_py(), np.uint32) for x in rows.column("key")]
+    shared = np.zeros(sum(map(len, keys)), bool)  # a key with one record decides nothing
+    if len(shared):
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        shared[order] = np.append(False, same) | np.append(same, False)
+        del order, same, key
+    at = 0
+    for r in zip(*(rows.column(c) for c in ("docs", "of", "ctx", "lo", "width")), keys, strict=True):
+        pick = np.flatnonzero(shared[at : at + len(r[5])])
+        at += len(r[5])
+        if len(pick):
+            lo = np.frombuffer(r[3].as_py(), np.uint32)[pick].astype(np.int64)
+            doc = np.array(r[0].values, np.int64)[np.frombuffer(r[1].as_py(), np.uint32)[pick]]
+            kept.append((doc, r[5][pick], np.frombuffer(r[2].as_py(), np.uint64)[pick], lo, lo + np.frombuffer(r[4].as_py(), np.uint32)[pick]))
+    del rows, keys, shared
+    for r in zip(*(table.filter(pc.invert(is_key)).column(c) for c in ("docs", "of", "lo", "width")), strict=True):
+        lo = np.frombuffer(r[2].as_py(), np.uint32).astype(np.int64)
+        out.append((np.array(r[0].values, np.int64)[np.frombuffer(r[1].as_py(), np.uint32)], lo, lo + np.frombuffer(r[3].as_py(), np.uint32)))
     open_ = (np.zeros(0, np.int64),) * 4
     if kept:
         doc, key, ctx, lo, end = (np.concatenate(x) for x in zip(*kept, strict=True))
@@ -173,6 +205,8 @@ def _meet(table: pa.Table) -> pa.Table:
         open_ = (doc[pick], (key[pick].astype(np.int64) << 20) ^ bucket, lo[pick], end[pick])
     doc, lo, end = _merged(*(np.concatenate(x) for x in zip(*out, strict=True))) if out else open_[:3]
     keys = pa.array(np.append(np.zeros(len(doc), np.int64), open_[1]), mask=np.arange(len(doc) + len(open_[0])) < len(doc))
+    del kept, out
+    give_back()
     return pa.Table.from_arrays([pa.array(np.append(doc, open_[0])), keys, pa.array(np.append(lo, open_[2])), pa.array(np.append(end, open_[3]))], schema=_FOUND)
 
 
@@ -194,8 +228,11 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sorted_shard(size: int):
     def shard(table: pa.Table) -> pa.Table:
         """Ranges whose strings another context of the same shard has from an earlier document."""
-        parts = [x.as_py() for x in table.column("part")]
+        coded = table.column("part").combine_chunks().dictionary_encode()  # equal contexts are sorted once
+        parts, of = coded.dictionary.to_pylist(), np.array(coded.indices, np.int64)
         doc, lo = np.array(table.column("doc_id"), np.int64), np.array(table.column("lo"), np.int64)
+        first = np.full(len(parts), np.iinfo(np.int64).max)
+        np.minimum.at(first, of, doc)
         n = np.array([len(x) for x in parts], np.int64)
         t = np.frombuffer(b"\xff".join(parts), np.uint8)  # 0xFF is in no UTF-8 text
         begins = np.cumsum(n + 1) - n - 1
@@ -208,11 +245,18 @@ def _sorted_shard(size: int):
             return pa.Table.from_arrays([pa.array([], pa.int64())] * 3, names=["doc_id", "lo", "end"])
         near[0] = False
         heads = np.flatnonzero(~near)
-        least = np.minimum.reduceat(doc[owner], heads)[np.cumsum(~near) - 1]
-        late = doc[owner] > least
-        own = owner[late]
-        a = lo[own] + sa[late] - begins[own]
-        d, a, e = _merged(doc[own], a, a + size)
+        least = np.minimum.reduceat(first[owner], heads)[np.cumsum(~near) - 1]
+        late = first[owner] >= least  # of the least document's own context, other documents' occurrences may be late
+        owner, at, least = owner[late], sa[late] - begins[owner[late]], least[late]
+        order = np.argsort(owner, kind="stable")
+        owner, at, least = owner[order], at[order], least[order]
+        begin, stop = np.searchsorted(owner, of), np.searchsorted(owner, of, side="right")
+        times = stop - begin
+        row = np.repeat(np.arange(len(of)), times)
+        pick = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + begin[row]
+        keep = doc[row] > least[pick]
+        row, a = row[keep], lo[row[keep]] + at[pick[keep]]
+        d, a, e = _merged(doc[row], a, a + size)
         return pa.Table.from_arrays([pa.array(d), pa.array(a), pa.array(e)], names=["doc_id", "lo", "end"])
 
     return shard
@@ -223,12 +267,12 @@ def repeated_ranges(docs: DataFrame, size: int = 50) -> DataFrame:
     prepare(spark := docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     total = own.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets = tasks_for(spark, total, 12_000_000)
+    buckets = tasks_for(spark, total, 6_000_000)
     sent = own.mapInArrow(_collect(size, buckets), _SENT)
     found = materialize(sent.groupBy("bucket").applyInArrow(_meet, "doc_id bigint, key bigint, lo bigint, end bigint"))
     gone = found.filter("key is null").select("doc_id", "lo", "end")
     open_ = found.filter("key is not null")
-    shards = tasks_for(spark, open_.count(), 20_000)
+    shards = tasks_for(spark, open_.count(), PER_SHARD)
     places = open_.groupBy("doc_id").agg(F.collect_list(F.struct("key", "lo", "end")).alias("places"))
     parts = own.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_contexts, "key bigint, doc_id bigint, lo bigint, part binary")
     by_shard = parts.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard")

@@ -22,6 +22,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     chars, t = np.unique(t, return_inverse=True)
     if len(chars) > MOST_NAMES:
         return _doubled(t)
+    t = t.astype(np.uint16)  # sorted by counting
     s_type = _s_types(t)
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     if len(lms) > 1:
@@ -40,9 +41,10 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
 
 def _s_types(t: np.ndarray) -> np.ndarray:
     n = len(t)
-    differs = np.flatnonzero(t[1:] != t[:-1])
-    up = t[differs + 1] > t[differs]
-    at = np.searchsorted(differs, np.arange(n))
+    differs = t[1:] != t[:-1]
+    up = (t[1:] > t[:-1])[differs]
+    at = np.zeros(n, np.int64)
+    np.cumsum(differs, out=at[1:])
     return np.append(up, False)[at]  # the last run of characters precedes the end, which is least
 
 
@@ -137,19 +139,26 @@ def _doubled(t: np.ndarray) -> np.ndarray:
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each position of t, the common prefix (at most `most`) of its suffix and the one before it in sa."""
+    """For each position of t (bytes), the common prefix (at most `most`) of its suffix and the one before it in sa."""
     n = len(t)
     before = np.full(n, -1)
     before[sa[1:]] = sa[:-1]
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = t
+    words = np.lib.stride_tricks.as_strided(padded, (n + 1, 8), (1, 1)).copy().view("<u8").ravel()
     out = np.zeros(n, np.int32)
     i = np.flatnonzero(before >= 0)
     j = before[i]
-    for d in range(most):
+    for d in range(0, most, 8):
         inside = np.maximum(i, j) + d < n
         i, j = i[inside], j[inside]
-        same = t[i + d] == t[j + d]
-        i, j = i[same], j[same]
-        out[i] += 1
         if not len(i):
             break
-    return out
+        unlike = words[i + d] ^ words[j + d]
+        some = unlike != 0
+        lowest = unlike[some] & (~unlike[some] + np.uint64(1))
+        out[i[some]] = d + np.log2(lowest.astype(np.float64)).astype(np.int32) // 8  # a power of two is exact
+        i, j = i[~some], j[~some]
+        out[i] = d + 8
+    near = np.minimum(out, most)
+    return np.minimum(near, np.where(before >= 0, n - np.maximum(np.arange(n), before), 0)).astype(np.int32)
