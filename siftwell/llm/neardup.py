@@ -7,8 +7,10 @@ probability below 1e-6.  Links are confirmed by exact Jaccard similarity of the
 
 Documents with equal sets are one node.  Within a bucket not all pairs are made: the member that meets most others is
 compared with the rest, verified links are merged to components, and only members of different components go on, under
-the next such member; what is left after MAX_ROUNDS is compared pairwise across components.  So no pair that shares a
-bucket is left undecided except inside one component.  Components come from min-label propagation with pointer
+the next such member.  After LEADERS rounds, what is left of small buckets is compared pairwise across components, and
+larger ones are compared in tiles of 2 x TILE members: a task holds a tile's sets, compares only pairs that are in no
+earlier common bucket and not connected yet, and emits the links that connect something, so pairs are never rows.  No
+pair that shares a bucket is left undecided except inside one component.  Components come from min-label propagation with pointer
 jumping, in tables in the shared folder.
 
 Defined cases: null, empty or wordless texts have no shingles and link with nothing; 1 to k-1 words are one shingle;
@@ -26,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_by_text, materialize, mix64, prepare, shingle_hashes, steps, utf8, word_hashes
+from .common import distinct_by_text, give_back, materialize, mix64, prepare, shingle_hashes, steps, utf8, word_hashes
 
-ROWS, MISS, MAX_ROUNDS = 5, 1e-6, 6
+ROWS, MISS, LEADERS, SMALL, TILE = 5, 1e-6, 2, 8, 1000
 
 
 def bands_for(percent: int) -> int:
@@ -112,6 +114,49 @@ def _verify(k: int, percent: int):
     return verify
 
 
+def _tile(k: int, percent: int):
+    def tile(table: pa.Table) -> pa.Table:
+        """Links that connect components among a tile's members."""
+        table = table.sort_by("rep").combine_chunks()
+        rep, n, block = (np.array(table.column(c), np.int64) for c in ("rep", "n", "block"))
+        _, root = np.unique(np.array(table.column("comp"), np.int64), return_inverse=True)
+        bands = np.array(table.column("bands").combine_chunks().flatten(), np.int64).reshape(len(rep), -1)
+        band = int(np.flatnonzero(bands[0] == table.column("key")[0].as_py())[0])
+        earlier, sets = bands[:, :band], []
+        data, offsets = utf8(table.column("text"))
+        for lo, hi in steps(offsets):
+            w, _, _, at = word_hashes(data, offsets[lo : hi + 1])
+            h, first = distinct_by_text(*shingle_hashes(w, at, k))
+            sets += [h[first[i] : first[i + 1]] for i in range(hi - lo)]
+        values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(n) - n
+        mark = np.zeros(len(values), np.int32)
+        across = table.column("t0")[0] != table.column("t1")[0]
+        links: list[tuple[int, int]] = []
+        for x in range(len(rep) - 1):
+            todo = (root != root[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+            todo[: x + 1] = False
+            if across:
+                todo &= block != block[x]
+            if todo.any():
+                todo &= ~(earlier == earlier[x]).any(1)
+            if not todo.any():
+                continue
+            own = ids[starts[x] : starts[x] + n[x]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[ids], starts)
+            mark[own] = 0
+            for y in np.flatnonzero(todo & (100 * both >= percent * (n + n[x] - both))).tolist():
+                if root[y] != root[x]:
+                    links.append((int(rep[x]), int(rep[y])))
+                    root[root == root[y]] = root[x]
+        give_back()
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return tile
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the least node that edges (a, b) connect each node with."""
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).filter("a != b").distinct())
@@ -133,7 +178,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     signed = materialize(docs.select("doc_id", "text").mapInArrow(_sign(k, bands_for(percent)), f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, bands array<bigint>"))
     usable = signed.filter("n > 0 and doc_id is not null")
     reps = materialize(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
-    nodes = usable.join(reps.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("rep"), "n", "bands")
+    nodes = usable.join(reps.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("rep"), "n", "bands").dropDuplicates(["rep"])
     members = nodes.select("rep", "n", F.explode(F.array_distinct("bands")).alias("key")).distinct()
     met = members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     active = materialize(members.join(met, "key"))
@@ -142,18 +187,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = materialize(
         docs.select(F.col("doc_id").alias("rep"), "text").join(degrees.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
     )
+    fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     links, decided, comps = None, None, None
-    for turn in range(MAX_ROUNDS + 1):
+    for turn in range(LEADERS + 1):
         with_comp = active.withColumn("comp", F.col("rep")) if comps is None else active.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         open_ = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.max(F.struct("deg", F.negate("rep").alias("minus"), "rep", "n", "comp")).alias("lead")).filter("lo != hi")
         going = materialize(with_comp.join(open_.select("key", "m", "lead"), "key"))
-        size = going.agg(F.count("*").alias("rows"), F.sum((F.col("m") - 1) / 2).alias("pairs")).first()
-        if not size["rows"]:
+        if going.isEmpty():
             break
-        fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-        last = turn == MAX_ROUNDS or size["pairs"] <= 2 * size["rows"]
-        if last:
-            x, y = going.alias("x"), going.alias("y")
+        if turn == LEADERS:
+            small = going.filter(F.col("m") <= SMALL)
+            x, y = small.alias("x"), small.alias("y")
             pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & fits(F.col("x.n"), F.col("y.n")))
             pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         else:
@@ -167,11 +211,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         judged = materialize(known.select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), f"a {kind}, b {kind}, ok boolean"))
         decided = judged.select("a", "b") if decided is None else decided.union(judged.select("a", "b"))
         new = judged.filter("ok").select("a", "b")
+        if turn == LEADERS:
+            large = going.filter(F.col("m") > SMALL).withColumn("blocks", F.ceil(F.col("m") / TILE)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+            large = large.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("key", "rep", "n", "comp", "block", F.least("block", "other").alias("t0"), F.greatest("block", "other").alias("t1"))
+            full = large.join(nodes.select("rep", "bands"), "rep").join(texts, "rep")
+            new = new.union(full.groupBy("key", "t0", "t1").applyInArrow(_tile(k, percent), f"a {kind}, b {kind}"))
+        new = materialize(new)
         links = new if links is None else links.union(new)
-        if last and turn == 0 or not new.isEmpty():
+        if not new.isEmpty():
             comps = components(links)
-        if last:
-            break
     owner = reps if comps is None else reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("rep"))
     out = signed.select("doc_id", "n", "k1", "k2").join(owner, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("rep"))

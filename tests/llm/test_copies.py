@@ -69,8 +69,11 @@ def test_near_duplicates(docs, odd_docs, copies, k, percent):
     assert neardup.near_duplicates(docs.limit(0), k, percent).count() == 0
 
 
-def test_pairwise_end(monkeypatch, copies):
-    monkeypatch.setattr(neardup, "MAX_ROUNDS", 0)
+@pytest.mark.parametrize(("leaders", "small", "size"), [(0, 10**6, 1000), (0, 1, 1000), (0, 2, 10), (1, 4, 10)])
+def test_rest_of_buckets(monkeypatch, copies, leaders, small, size):
+    monkeypatch.setattr(neardup, "LEADERS", leaders)
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "TILE", size)
     assert got_components(copies, 3, 85) == plain_components([(r.doc_id, r.text) for r in copies.collect()], 3, 85)
 
 
