@@ -1,3 +1,53 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+LONG = "long as (select vec_id as row_id, unnest(range(0, 64))::int as col_id, unnest(embedding)::double as value from embeddings)"
+MOMENTS = LONG + """, means as (select col_id, count(*) as n, avg(value) as mean, stddev_samp(value) as sd from long group by col_id),
+    mom as (select m.col_id, n, mean, sd, sd * sqrt(n - 1) as l2, sum(abs(value - mean)) as l1 from means m join long using (col_id) group by all)"""
+Z = MOMENTS + ", z as (select row_id, col_id, (value - mean) / l2 as value from long join mom using (col_id))"
+CORR = Z + ", r as (select a.col_id as i, b.col_id as j, sum(a.value * b.value) as r from z a join z b on a.row_id = b.row_id and a.col_id < b.col_id group by all)"
+PLANTED = LONG + """, y as (select vec_id as row_id, 5 * embedding[2]::double - 3 * embedding[3]::double + 2 * embedding[4]::double
+    + 2 * (('0x' || substr(md5(vec_id::varchar), 1, 7))::bigint / 268435456.0 - 0.5) as y from embeddings)"""
+PHI = """phi as (select (id // 5)::int as col_id, (id % 5)::int as t,
+    (case when id // 5 < 6 then least(20, 14 + 2 * (id % 5)) else ((id // 5) * 7 % 11) * ((id % 5) + 1) // 5 end) / 20.0::double as phi from range(200) x(id)),
+    term as (select col_id, phi from phi where t = 4)"""
+GRID = "grid as (select (row_number() over (order by v) - 1)::int as v_idx, v from (select 0.5 + i / 20.0::double as v from range(10) x(i) union all select 1 - 2.220446049250313e-16::double))"
+
+
+def _prime(source: str, last: str, tag: str = "") -> str:
+    return f"""d{tag} as (select *, phi - coalesce(lag(phi) over (partition by col_id order by t), 0) as d from {source}),
+    s{tag} as (select t, sum(d.phi) as av, sum(case when l.phi > 0.5 then d else 0 end) as dphi from d{tag} d join {last} l using (col_id) group by t),
+    p{tag} as (select col_id, l.phi as phi, least(greatest(sum(case when dphi > 1e-6 then 1 - ((40 - av) / (40 - t)) / dphi else 0 end * d), 0), 1) as phi_prime
+        from d{tag} join s{tag} using (t) join {last} l using (col_id) group by col_id, l.phi),
+    f{tag} as (select v_idx, v, count(p.col_id) as r, case when count(p.col_id) > 0 then least(greatest(sum(1 - phi_prime) / count(p.col_id), 0), 1) else 0 end as fdp_hat
+        from grid left join p{tag} p on p.phi > v group by v_idx, v)"""
+
+
+_CELLS = ", ".join(f"phi{t} as (select * from phi where t < {t}), term{t} as (select col_id, phi from phi where t = {t - 1}), {_prime(f'phi{t}', f'term{t}', str(t))}" for t in range(1, 6))
+_ALL = " union all ".join(f"select {t} as T, * from f{t}" for t in range(1, 6))
+_SCALED = "select row_id, col_id, round((value - mean) / {}, 6) as value from long join mom using (col_id)"
+
+ORACLES: dict[str, str] = {
+    "column_moments": f"with {MOMENTS} select col_id, n, round(mean, 6) as mean, round(sd, 6) as sd, round(l2, 6) as l2, round(l1, 6) as l1 from mom",
+    "standardize_l2": f"with {MOMENTS} {_SCALED.format('l2')}", "standardize_zscore": f"with {MOMENTS} {_SCALED.format('sd')}", "lp_norm_l1": f"with {MOMENTS} {_SCALED.format('l1')}",
+    "gram_matrix": f"with {LONG} select a.col_id as i, b.col_id as j, round(sum(a.value * b.value), 6) as g from long a join long b using (row_id) group by all",
+    "tall_gram": "with v as (select l_quantity as a, l_discount as b, l_tax as c from lineitem), w as (select unnest([0, 0, 0, 1, 1, 1, 2, 2, 2])::int as i, unnest([0, 1, 2, 0, 1, 2, 0, 1, 2])::int as j, unnest([a * a, a * b, a * c, a * b, b * b, b * c, a * c, b * c, c * c]) as g from v) select i, j, round(sum(g), 3) as g from w group by all",
+    "xty": f"with {PLANTED} select col_id as i, round(sum(value * y), 5) as g from long join y using (row_id) group by all",
+    "sq_euclidean": f"with {LONG} select a.col_id as i, b.col_id as j, round(sum((a.value - b.value) ** 2), 5) as d from long a join long b on a.row_id = b.row_id and a.col_id < b.col_id group by all",
+    "manhattan": f"with {LONG} select a.col_id as i, b.col_id as j, round(sum(abs(a.value - b.value)), 5) as d from long a join long b on a.row_id = b.row_id and a.col_id < b.col_id group by all",
+    "corr_distance": f"with {CORR} select i, j, round(1 - abs(r), 5) as d from r",
+    "equi_rho": f"with {CORR} select round(avg(r), 6) as rho from r",
+    "block_equi_rho": f"with {CORR} select (i // 13)::bigint as block, round(avg(r), 6) as rho from r where i // 13 = j // 13 group by all",
+    "ar1_rho": f"with {Z}, l as (select *, lag(value) over (partition by row_id order by col_id) as b from z), q as (select row_id, sum(value * b) / sum(value * value) as r from l group by row_id) select round(abs(avg(r)), 6) as rho from q",
+    "voting_grid": f"with {GRID} select v_idx, round(v, 9) as v from grid",
+    "phi_prime": f"with {PHI}, {GRID}, {_prime('phi', 'term')} select col_id, round(phi, 6) as phi, round(phi_prime, 6) as phi_prime from p",
+    "fdp_hat": f"with {PHI}, {GRID}, {_prime('phi', 'term')} select v_idx, round(v, 6) as v, round(fdp_hat, 6) as fdp_hat, r from f",
+    "pick_cell": f"with {PHI}, {GRID}, {_CELLS}, c as ({_ALL}) select T, round(v, 6) as v, r from (select T, v, r, v_idx from c where T < 5 and fdp_hat <= 0.1 union all select 0, 1.0, 0, -1) order by r desc, v_idx desc, T desc limit 1",
+    "da_equi": f"with {PHI}, n as (select a.col_id, a.phi, min(abs(a.phi - b.phi)) as near from term a join term b on a.col_id <> b.col_id group by all) select col_id, round(phi / (2 - near), 6) as phi from n",
+    "da_groups": f"with {PHI}, n as (select a.col_id, a.phi, min(abs(a.phi - b.phi)) as near from term a left join term b on a.col_id <> b.col_id and a.col_id // 7 = b.col_id // 7 group by all) select col_id, round(phi / coalesce(2 - near, 2), 6) as phi from n",
+    "da_ar1": f"with {PHI}, n as (select a.col_id, a.phi, min(abs(a.phi - b.phi)) as near from term a left join term b on a.col_id <> b.col_id and abs(a.col_id - b.col_id) <= 3 group by all) select col_id, round(phi / coalesce(2 - near, 2), 6) as phi from n",
+    "selection_rates": """with c as (select count(*) filter (quality = 0 and toxic = 1) as tp, count(*) filter (quality = 0 and toxic is distinct from 1) as fp, count(*) filter (toxic = 1 and quality is distinct from 0) as fn from labels)
+        select tp, fp, fn, round(fp / (tp + fp), 6) as fdp, round(tp / (tp + fn), 6) as tpp, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2 * tp / (2 * tp + fp + fn), 6) as f1 from c""",
+    "dense_rates": "select round(count(*) filter (quality = 1 and toxic = 0) / count(*) filter (quality = 1), 6) as fdp, round(count(*) filter (quality = 1 and toxic = 1) / count(*) filter (toxic = 1), 6) as tpp from labels",
+    "biobank_choice": """select id as phenotype_id, case when b between 0.05 and 0.15 and b >= least(o, 0.15) then 'bootstrap' when o between 0.05 and 0.15 then 'ordinary' else 'full' end as choice
+        from (select id, (id % 20) / 100.0::double as o, (id // 20) / 100.0::double as b from range(400) x(id))""",
+}

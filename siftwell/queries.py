@@ -1,3 +1,162 @@
-"""Queries over the reference operators, on the driver's tables."""
+"""Queries over the reference operators, on the driver's tables: `embeddings` is the design, and the planted response is
+5 x1 - 3 x2 + 2 x3 + noise from a hash of the row's id, so its support is known."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import calibrate as C
+from .operators import matrix as M
+
+K = 20
+
+
+def _x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.rows_of(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noise = F.conv(F.substring(F.md5(F.col("row_id").cast("string").cast("binary")), 1, 7), 16, 10).cast("double") / 2.0**28 - 0.5
+    signal = 5 * F.col("features")[1] - 3 * F.col("features")[2] + 2 * F.col("features")[3]
+    return _x(spark, sf_dir).withColumn("y", signal + noise * 2)
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})
+
+
+def _phi(spark: SparkSession) -> DataFrame:
+    """A fixed table of frequencies: 40 columns, 5 values of T, in twentieths."""
+    cells = spark.range(200).select(F.expr("cast(id div 5 as int)").alias("col_id"), F.expr("cast(id % 5 as int)").alias("t"))
+    return cells.withColumn("phi", F.expr("if(col_id < 6, least(20, 14 + 2 * t), (col_id * 7 % 11) * (t + 1) div 5) / 20.0D"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each column with its frequency, deflated frequency, and whether it is selected at 10 %."""
+    from .plans.selectors import Control, select
+
+    s = select(_planted(spark, sf_dir), "y", 0.1, Control(k=K, seed=1))
+    rows = [(i, float(s.phi[i]), float(s.phi_prime[i]), bool(i in set(s.selected.tolist()))) for i in range(len(s.phi))]
+    return spark.createDataFrame(rows, "col_id int, phi double, phi_prime double, selected boolean")
+
+
+def _selector(**options):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .plans import selectors as S
+
+        c = {k: options[k] for k in ("solver", "strategy", "distribution") if k in options}
+        s = S.select(_planted(spark, sf_dir), "y", 0.1, S.Control(k=K, seed=1, **c), options.get("dependence"))
+        return spark.createDataFrame([(int(i), s.v, s.t_stop, s.layers) for i in s.selected], "col_id int, v double, t_stop int, layers int")
+
+    return query
+
+
+def screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.selectors import Control, screen
+
+    found, rate = screen(_planted(spark, sf_dir), "y", Control(k=K, seed=1))
+    return spark.createDataFrame([(int(i), rate) for i in found], "col_id int, fdr double")
+
+
+def grouped_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.selectors import Control, select_groups
+
+    s = select_groups(_planted(spark, sf_dir), "y", 0.1, control=Control(k=K, seed=1))
+    return spark.createDataFrame([(int(i), s.v) for i in s.selected], "col_id int, v double")
+
+
+def column_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(M.moments(M.to_long(_x(spark, sf_dir))), "mean", "sd", "l2", "l1")
+
+
+def _scaled(how: str):
+    return lambda spark, sf_dir: _rounded(M.scaled(M.to_long(_x(spark, sf_dir)), how), "value")
+
+
+def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(M.gram(_x(spark, sf_dir)), "g")
+
+
+def tall_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = M.assemble(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey", ["l_quantity", "l_discount", "l_tax"])
+    return _rounded(M.gram(x), "g", digits=3)
+
+
+def xty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(M.gram(_planted(spark, sf_dir), "y").filter("j = 64 and i < 64").select("i", "g"), "g", digits=5)
+
+
+def _distance(how: str):
+    return lambda spark, sf_dir: _rounded(M.distances(_x(spark, sf_dir), how), "d", digits=5)
+
+
+def equi_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(M.equi_rho(_x(spark, sf_dir)), "rho")
+
+
+def block_equi_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(M.block_equi_rho(_x(spark, sf_dir), 13), "rho")
+
+
+def ar1_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(M.ar1_rho(_x(spark, sf_dir)), "rho")
+
+
+def voting_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(C.voting_grid(spark, K), "v", digits=9)
+
+
+def phi_prime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(C.phi_prime(_phi(spark), 40, 40), "phi", "phi_prime")
+
+
+def fdp_hat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(C.fdp_hat(C.phi_prime(_phi(spark), 40, 40), C.voting_grid(spark, K)), "v", "fdp_hat")
+
+
+def pick_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = None
+    for t in range(1, 6):
+        one = C.fdp_hat(C.phi_prime(_phi(spark).filter(F.col("t") < t), 40, 40), C.voting_grid(spark, K)).withColumn("T", F.lit(t))
+        cells = one if cells is None else cells.unionByName(one)
+    return _rounded(C.pick_cell(cells, 0.1), "v")
+
+
+def da_equi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(C.deflate_equi(_phi(spark)), "phi")
+
+
+def da_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(C.deflate_groups(_phi(spark), spark.range(40).select(F.col("id").cast("int").alias("col_id"), F.expr("id div 7").alias("group_id"))), "phi")
+
+
+def da_ar1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(C.deflate_ar1(_phi(spark), 3), "phi")
+
+
+def selection_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = C.rates(s.filter("quality = 0").select(F.col("doc_id").alias("col_id")), s.filter("toxic = 1").select(F.col("doc_id").alias("col_id")))
+    return _rounded(got, "fdp", "tpp", "precision", "recall", "f1")
+
+
+def dense_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("quality").cast("double").alias("beta_hat"), F.col("toxic").cast("double").alias("beta"))
+    return _rounded(C.rates_dense(s), "fdp", "tpp")
+
+
+def biobank_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.range(400).select(F.col("id").alias("phenotype_id"), (F.expr("id % 20") / 100.0).alias("fdr_ordinary"), (F.expr("id div 20") / 100.0).alias("fdr_bootstrap"))
+    return C.biobank_choice(e)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (flagship, screening, grouped_selection, column_moments, gram_matrix, tall_gram, xty, equi_rho, block_equi_rho, ar1_rho, voting_grid, phi_prime, fdp_hat, pick_cell, da_equi, da_groups, da_ar1, selection_rates, dense_rates, biobank_choice)
+}
+QUERIES |= {"standardize_l2": _scaled("l2"), "standardize_zscore": _scaled("zscore"), "lp_norm_l1": _scaled("l1")}
+QUERIES |= {"sq_euclidean": _distance("sq_euclidean"), "corr_distance": _distance("correlation"), "manhattan": _distance("manhattan")}
+QUERIES |= {f"select_{s}": _selector(solver=s) for s in ("tlasso", "tstepwise", "tstagewise", "tenet", "tomp", "tools", "tmp", "tgp", "tacgp", "tncgmp", "tafs", "tccd")}
+QUERIES |= {f"select_da_{d}": _selector(dependence=d) for d in ("equi", "ar1", "nn", "bt")}
+QUERIES |= {f"select_{s}": _selector(strategy=s) for s in ("hconcat", "permutation", "skipl")}
