@@ -30,7 +30,7 @@ ORACLES: dict[str, str] = {
     "column_moments": f"with {MOMENTS} select col_id, n, round(mean, 6) as mean, round(sd, 6) as sd, round(l2, 6) as l2, round(l1, 6) as l1 from mom",
     "standardize_l2": f"with {MOMENTS} {_SCALED.format('l2')}", "standardize_zscore": f"with {MOMENTS} {_SCALED.format('sd')}", "lp_norm_l1": f"with {MOMENTS} {_SCALED.format('l1')}",
     "gram_matrix": f"with {LONG} select a.col_id as i, b.col_id as j, round(sum(a.value * b.value), 6) as g from long a join long b using (row_id) group by all",
-    "tall_gram": "with v as (select l_quantity as a, l_discount as b, l_tax as c from lineitem), w as (select unnest([0, 0, 0, 1, 1, 1, 2, 2, 2])::int as i, unnest([0, 1, 2, 0, 1, 2, 0, 1, 2])::int as j, unnest([a * a, a * b, a * c, a * b, b * b, b * c, a * c, b * c, c * c]) as g from v) select i, j, round(sum(g), 3) as g from w group by all",
+    "tall_gram": "with v as (select l_quantity as a, l_discount as b, l_tax as c from lineitem), w as (select unnest([0, 0, 0, 1, 1, 1, 2, 2, 2])::int as i, unnest([0, 1, 2, 0, 1, 2, 0, 1, 2])::int as j, unnest([a * a, a * b, a * c, a * b, b * b, b * c, a * c, b * c, c * c]) as g from v) select i, j, round(sum(g), 2) as g from w group by all",
     "xty": f"with {PLANTED} select col_id as i, round(sum(value * y), 5) as g from long join y using (row_id) group by all",
     "sq_euclidean": f"with {LONG} select a.col_id as i, b.col_id as j, round(sum((a.value - b.value) ** 2), 5) as d from long a join long b on a.row_id = b.row_id and a.col_id < b.col_id group by all",
     "manhattan": f"with {LONG} select a.col_id as i, b.col_id as j, round(sum(abs(a.value - b.value)), 5) as d from long a join long b on a.row_id = b.row_id and a.col_id < b.col_id group by all",

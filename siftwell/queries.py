@@ -80,7 +80,7 @@ def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tall_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = M.assemble(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey", ["l_quantity", "l_discount", "l_tax"])
-    return _rounded(M.gram(x), "g", digits=3)
+    return _rounded(M.gram(x), "g", digits=2)
 
 
 def xty(spark: SparkSession, sf_dir: str) -> DataFrame:
