@@ -9,8 +9,8 @@ take the places of that rank.
 
 Tokens: byte-level BPE ids of the whole text, then the end id.  Only longer documents are cut, into `size`-token
 pieces, the first of which may be shorter.  A text is encoded by the pieces between its single spaces, where the
-vocabulary's splitting rule always cuts; each distinct piece is encoded once and remembered.  Texts in which a space
-stands beside other white space or at an end are encoded as a whole.
+vocabulary's splitting rule always cuts (as it does between letters and marks); each distinct piece is encoded once and
+remembered.  Texts in which a space stands beside other white space or at an end are encoded as a whole.
 
 Defined cases: null text counts as empty (one token, the end id); repeated rows are packed each; null doc_ids are packed
 like others; an empty table gives an empty result.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, prepare
 
-SIZE, END, REMEMBERED = 2048, 0, 300_000
-_UNEVEN = re.compile(r"(?:^|\s)\x20|\x20(?:\s|$)")
+SIZE, END, REMEMBERED = 2048, 0, 1_000_000
+_MARKED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:]{1,4})")
 _encoders: dict[str, tuple] = {}
 
 
@@ -47,21 +48,49 @@ def _encoder(path: str):
         tok.encode_special_tokens = True  # in a text, their strings are ordinary text
 
         def whole(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-        later: dict[str, bytes] = {}
+            return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+        line_end = tok.encode("\n", add_special_tokens=False).ids
+
+        def spaced(pieces: list[str]) -> list[bytes]:
+            """Each piece behind a space; encoded as lines of one text where no piece has a line end of its own."""
+            lines = "\n".join(f" {x}" for x in pieces)
+            ids = np.frombuffer(whole([lines])[0], "<u4")
+            cuts = np.flatnonzero(ids == line_end[0])
+            if len(line_end) != 1 or lines.count("\n") != len(pieces) - 1 or len(cuts) != len(pieces) - 1:
+                return whole([f" {x}" for x in pieces])
+            raw, cuts = ids.tobytes(), (cuts * 4).tolist()
+            return [raw[a:e] for a, e in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
+
+        later: dict[str, bytes] = {}  # what stands behind a space
+        marks: dict[str, bytes] = {}
+
+        def learn(new: list[str]) -> None:
+            parts = {x: m.groups() for x in new if (m := _MARKED.fullmatch(x))}
+            plain = {b for b, _ in parts.values() if b not in later}.union(x for x in new if x not in parts)
+            split = [x for x in plain if "\n" in x]
+            plain = [x for x in plain if "\n" not in x]
+            later.update(zip(split, whole([f" {x}" for x in split]), strict=True))
+            if plain:
+                later.update(zip(plain, spaced(plain), strict=True))
+            for m in {m for _, m in parts.values()} - marks.keys():
+                marks[m] = whole([m])[0]
+            later.update((x, later[b] + marks[m]) for x, (b, m) in parts.items())
 
         def encode(text: str) -> bytes:
             if not text:
                 return b""
-            if " " not in text or _UNEVEN.search(text):
-                return whole([text])[0]
             head, *rest = text.split(" ")
+            if not rest or not head or head[-1].isspace():
+                return whole([text])[0]
             if new := [x for x in set(rest) if x not in later]:
+                if any(not x or x[0].isspace() or x[-1].isspace() for x in new):
+                    return whole([text])[0]
                 if len(later) > REMEMBERED:
                     later.clear()
-                    new = list(set(rest))
-                later.update(zip(new, whole([f" {x}" for x in new]), strict=True))
+                    marks.clear()
+                    new = [*set(rest)]
+                learn(new)
             return whole([head])[0] + b"".join(map(later.__getitem__, rest))
 
         _encoders[path] = (encode, whole)
