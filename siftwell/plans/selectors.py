@@ -119,7 +119,7 @@ def _neighbours(method: str, m: np.ndarray, options: dict):
     off = ~np.eye(p, dtype=bool)
     if method == "equi":
         rho = abs((np.corrcoef(m, rowvar=False).sum() - p) / (p * (p - 1)))
-        return off if rho > 0.02 else np.zeros_like(off)
+        return off if rho > 0.02 else None  # independent columns aren't deflated
     if method == "ar1":
         rho = abs(np.mean((m[:, 1:] * m[:, :-1]).sum(1) / (m * m).sum(1)))
         reach = ar1_reach(min(max(rho, 1e-3), 0.999))
