@@ -1,7 +1,7 @@
 """Web archives: writing WARC files, reading them back, and merging their indexes into capture histories.
 
 Writing: records are packed into chunks of at most CHUNK_BYTES (a larger record is its own), each of which Spark's text
-writer puts into a file of the shared folder, so files are whole on any Hadoop file system and a lost task is written
+writer puts into a gzip file of the shared folder (offsets count uncompressed bytes), so files are whole on any Hadoop file system and a lost task is written
 again.  Of equal payloads of at least `least` bytes the capture with the largest id is a response and the others are
 revisits that refer to it; the join that tells them apart carries ids only and is by digest, and where a digest is very
 common Spark's skew handling splits it.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import datetime as dt
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -91,7 +92,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000) -> None:
 
     (
         classified(pages, least).withColumns({"page_id": F.col("page_id").cast("decimal(38,0)").cast("string"), "refers_to": F.col("refers_to").cast("string")})
-        .mapInPandas(chunks, "value string").write.option("lineSep", END).option("maxRecordsPerFile", 1).text(path)
+        .mapInPandas(chunks, "value string").write.option("lineSep", END).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
     )
 
 
@@ -126,7 +127,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for f in frames:
             for name, data in zip(f["path"], f["content"], strict=True):
                 run = []
-                for offset, length, h, block in parsed(data):
+                for offset, length, h, block in parsed(gzip.decompress(data) if name.endswith(".gz") else data):
                     http, _, body = block.partition(b"\r\n\r\n")
                     size = int(http.rsplit(b"Content-Length: ", 1)[1])
                     kind = h["WARC-Type"]
@@ -139,7 +140,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         int(ref or NO_ID), name, offset, length,
                     ))
                 run.sort(key=_key)
-                yield _frame(run)
+                if run:  # an empty table leaves a file without records
+                    yield _frame(run)
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a file at a time
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)

@@ -1,5 +1,6 @@
 """Chat formatting and web archives: round trips, and digests against plain Python."""
 
+import gzip
 import hashlib
 import random
 from collections import Counter, defaultdict
@@ -101,7 +102,7 @@ def test_archives(spark, tmp_path):
         keys = [(r.shard, r.url_key, r.timestamp, -1 if r.page_id is None else r.page_id) for r in got]
         assert [k[1:] for k in sorted(keys)] == sorted(k[1:] for k in keys)
         for r in got[:20]:
-            data = open(r.file.removeprefix("file:"), "rb").read()
+            data = gzip.decompress(open(r.file.removeprefix("file:"), "rb").read())
             record = data[r.offset : r.offset + r.length]
             assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
     assert warc.capture_histories(table.limit(0)).count() == 0
