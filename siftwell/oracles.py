@@ -50,4 +50,10 @@ ORACLES: dict[str, str] = {
     "dense_rates": "select round(count(*) filter (quality = 1 and toxic = 0) / count(*) filter (quality = 1), 6) as fdp, round(count(*) filter (quality = 1 and toxic = 1) / count(*) filter (toxic = 1), 6) as tpp from labels",
     "biobank_choice": """select id as phenotype_id, case when b between 0.05 and 0.15 and b >= least(o, 0.15) then 'bootstrap' when o between 0.05 and 0.15 then 'ordinary' else 'full' end as choice
         from (select id, (id % 20) / 100.0::double as o, (id // 20) / 100.0::double as b from range(400) x(id))""",
+    "ridge_fit": """with g as (select sum(l_quantity * l_quantity) + 5 as a, sum(l_quantity * l_discount) as b, sum(l_discount * l_discount) + 5 as c, sum(l_quantity * l_extendedprice) as u, sum(l_discount * l_extendedprice) as v from lineitem)
+        select 0 as col_id, round((c * u - b * v) / (a * c - b * b), 3) as beta from g union all select 1, round((a * v - b * u) / (a * c - b * b), 3) from g""",
+    "svd_values": """with g as (select sum(l_quantity * l_quantity) as a, sum(l_quantity * l_discount) as b, sum(l_discount * l_discount) as c from lineitem), r as (select a, b, c, (a + c + sqrt((a - c) ** 2 + 4 * b * b)) / 2 as e from g)
+        select 0 as k, round(sqrt(e), 4) as sd from r union all select 1, round(sqrt((a * c - b * b) / e), 4) from r""",
+    "pca_variance": """with g as (select var_samp(l_quantity) as a, covar_samp(l_quantity, l_discount) as b, var_samp(l_discount) as c from lineitem), r as (select a, b, c, (a + c + sqrt((a - c) ** 2 + 4 * b * b)) / 2 as e from g)
+        select 0 as k, round(e, 5) as variance from r union all select 1, round((a * c - b * b) / e, 5) from r""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import calibrate as C
+from .operators import linear as L
 from .operators import matrix as M
 
 K = 20
@@ -151,9 +152,38 @@ def biobank_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.biobank_choice(e)
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return M.assemble(items, "l_orderkey", ["l_quantity", "l_discount", "l_extendedprice"]).select("row_id", F.slice("features", 1, 2).alias("features"), F.col("features")[2].alias("y"))
+
+
+def ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    beta = L.ridge(_lines(spark, sf_dir), "y", 5.0)
+    return _rounded(spark.createDataFrame([(i, float(b)) for i, b in enumerate(beta)], "col_id int, beta double"), "beta", digits=3)
+
+
+def svd_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sd = L.components(_lines(spark, sf_dir), 2, center=False).sd
+    return _rounded(spark.createDataFrame([(i, float(v)) for i, v in enumerate(sd)], "k int, sd double"), "sd", digits=4)
+
+
+def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = L.components(_lines(spark, sf_dir), 2).explained
+    return _rounded(spark.createDataFrame([(i, float(v)) for i, v in enumerate(got)], "k int, variance double"), "variance", digits=5)
+
+
+def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _x(spark, sf_dir)
+    return L.scores(x, L.components(x, 5))
+
+
+def synthetic_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.synthetic(spark, 300, {1: 5.0, 2: -3.0, 3: 2.0}, 100, 1.0, 42)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (flagship, screening, grouped_selection, column_moments, gram_matrix, tall_gram, xty, equi_rho, block_equi_rho, ar1_rho, voting_grid, phi_prime, fdp_hat, pick_cell, da_equi, da_groups, da_ar1, selection_rates, dense_rates, biobank_choice)
+    for f in (flagship, screening, grouped_selection, column_moments, gram_matrix, tall_gram, xty, equi_rho, block_equi_rho, ar1_rho, voting_grid, phi_prime, fdp_hat, pick_cell, da_equi, da_groups, da_ar1, selection_rates, dense_rates, biobank_choice, ridge_fit, svd_values, pca_variance, pca_scores, synthetic_data)
 }
 QUERIES |= {"standardize_l2": _scaled("l2"), "standardize_zscore": _scaled("zscore"), "lp_norm_l1": _scaled("l1")}
 QUERIES |= {"sq_euclidean": _distance("sq_euclidean"), "corr_distance": _distance("correlation"), "manhattan": _distance("manhattan")}
