@@ -21,8 +21,8 @@ ORACLE_SQL: str | None = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep."""
-    return quality_filter(docs)
+    """The documents that the quality rules keep; a (lang, source) of any size has its own thresholds."""
+    return quality_filter(docs, weight=50)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

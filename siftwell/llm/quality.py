@@ -4,7 +4,8 @@ Everything here is DataFrame and SQL work in the JVM.  Each text gives exact cou
 rates go into mergeable quantile sketches (log-linear histograms: a value keeps its six leading bits, so a quantile is
 within 1/32, sketches merge by adding counts, and the result doesn't depend on the order of merging).  A group of
 (lang, source) with fewer than `min_docs` surviving documents uses the merged sketch of its language, and a small
-language that of the whole corpus.
+language that of the whole corpus.  With `weight`, no size decides: every group has its own sketch merged with that of
+its language at the weight of so many documents, and every language's with that of the corpus likewise.
 
 Defined cases: null text counts as empty (no words, so it fails the base rules); null lang or source is a group of its
 own; repeated rows each count; an empty table gives an empty result; further columns of the input are ignored by
@@ -65,33 +66,54 @@ def sketches(rated: DataFrame, p: str = "_q_") -> DataFrame:
     )
 
 
-def thresholds(rated: DataFrame, min_docs: int = 200, p: str = "_q_") -> DataFrame:
+_BY_SIZE = """
+with s as (select lang, source, rate, value, n from {sketch}),
+levels as (
+    select 0 as level, lang, source, rate, value, n from s
+    union all select 1, lang, null, rate, value, sum(n) from s group by lang, rate, value
+    union all select 2, null, null, rate, value, sum(n) from s group by rate, value),
+c as (select *, sum(n) over (partition by level, lang, source, rate order by value) as upto,
+             sum(n) over (partition by level, lang, source, rate) as total from levels),
+q as (select level, lang, source, rate, max(total) as total,
+             min(if(4 * upto >= total, value, null)) as q25, min(if(4 * upto >= 3 * total, value, null)) as q75
+      from c group by level, lang, source, rate),
+g as (select distinct lang, source, rate from s)
+select g.lang, g.source, g.rate,
+       case when a.total >= {least} then a.q25 when b.total >= {least} then b.q25 else w.q25 end as q25,
+       case when a.total >= {least} then a.q75 when b.total >= {least} then b.q75 else w.q75 end as q75
+from g join q a on a.level = 0 and a.lang <=> g.lang and a.source <=> g.source and a.rate = g.rate
+       join q b on b.level = 1 and b.lang <=> g.lang and b.rate = g.rate
+       join q w on w.level = 2 and w.rate = g.rate
+"""
+
+#: Own counts, those of the language and those of the corpus as whole numbers over one denominator.
+_BY_WEIGHT = """
+with s as (select lang, source, rate, value, cast(n as decimal(12, 0)) as n from {sketch}),
+a as (select lang, source, rate, cast(sum(n) as decimal(12, 0)) as total, collect_list(struct(value, n)) as own from s group by lang, source, rate),
+b as (select lang, rate, cast(sum(n) as decimal(12, 0)) as total, collect_list(struct(value, n)) as near
+      from (select lang, rate, value, cast(sum(n) as decimal(12, 0)) as n from s group by lang, rate, value) group by lang, rate),
+w as (select rate, cast(sum(n) as decimal(12, 0)) as total, collect_list(struct(value, n)) as far
+      from (select rate, value, cast(sum(n) as decimal(12, 0)) as n from s group by rate, value) group by rate),
+m as (select /*+ broadcast(b), broadcast(w) */ a.lang, a.source, a.rate,
+             cast((a.total + {weight}) * (b.total + {weight}) * w.total as decimal(38, 0)) as total,
+             array_sort(concat(
+                 transform(own, x -> struct(x.value as value, cast(x.n * (b.total + {weight}) * w.total as decimal(38, 0)) as n)),
+                 transform(near, x -> struct(x.value as value, cast({weight} * x.n * w.total as decimal(38, 0)) as n)),
+                 transform(far, x -> struct(x.value as value, cast({weight} * {weight} * x.n as decimal(38, 0)) as n)))) as all
+      from a join b on b.lang <=> a.lang and b.rate = a.rate join w on w.rate = a.rate)
+select lang, source, rate, at.q25, at.q75 from (select lang, source, rate, aggregate(
+    all, struct(cast(0 as decimal(38, 0)) as upto, cast(null as bigint) as q25, cast(null as bigint) as q75),
+    (s, x) -> struct(cast(s.upto + x.n as decimal(38, 0)) as upto,
+                     coalesce(s.q25, if(4 * (s.upto + x.n) >= total, x.value, null)) as q25,
+                     coalesce(s.q75, if(4 * (s.upto + x.n) >= 3 * total, x.value, null)) as q75)) as at from m)
+"""
+
+
+def thresholds(rated: DataFrame, min_docs: int = 200, p: str = "_q_", weight: int | None = None) -> DataFrame:
     """One row for each (lang, source): the lower and upper fence of each rate."""
-    base = sketches(rated, p)
     spark = rated.sparkSession
-    sketch = materialize(base)
-    text = spark.sql(
-        """
-        with s as (select lang, source, rate, value, n from {sketch}),
-        levels as (
-            select 0 as level, lang, source, rate, value, n from s
-            union all select 1, lang, null, rate, value, sum(n) from s group by lang, rate, value
-            union all select 2, null, null, rate, value, sum(n) from s group by rate, value),
-        c as (select *, sum(n) over (partition by level, lang, source, rate order by value) as upto,
-                     sum(n) over (partition by level, lang, source, rate) as total from levels),
-        q as (select level, lang, source, rate, max(total) as total,
-                     min(if(4 * upto >= total, value, null)) as q25, min(if(4 * upto >= 3 * total, value, null)) as q75
-              from c group by level, lang, source, rate),
-        g as (select distinct lang, source, rate from s)
-        select g.lang, g.source, g.rate,
-               case when a.total >= {least} then a.q25 when b.total >= {least} then b.q25 else w.q25 end as q25,
-               case when a.total >= {least} then a.q75 when b.total >= {least} then b.q75 else w.q75 end as q75
-        from g join q a on a.level = 0 and a.lang <=> g.lang and a.source <=> g.source and a.rate = g.rate
-               join q b on b.level = 1 and b.lang <=> g.lang and b.rate = g.rate
-               join q w on w.level = 2 and w.rate = g.rate
-        """,
-        sketch=sketch, least=min_docs,
-    )
+    sketch = materialize(sketches(rated, p))
+    text = spark.sql(_BY_SIZE, sketch=sketch, least=min_docs) if weight is None else spark.sql(_BY_WEIGHT, sketch=sketch, weight=weight)
     cut = lambda r, what: F.max(F.when(F.col("rate") == r, F.expr(what)))
     return text.groupBy("lang", "source").agg(*[
         x for r, (slack, *_ ) in RATES.items()
@@ -99,9 +121,9 @@ def thresholds(rated: DataFrame, min_docs: int = 200, p: str = "_q_") -> DataFra
     ]).withColumnsRenamed({"lang": "_g_lang", "source": "_g_source"})
 
 
-def _verdict(rated: DataFrame, min_docs: int, p: str) -> DataFrame:
+def _verdict(rated: DataFrame, min_docs: int, p: str, weight: int | None = None) -> DataFrame:
     """rated with p+kept: base rules and all adaptive fences together."""
-    cuts = thresholds(rated, min_docs, p)
+    cuts = thresholds(rated, min_docs, p, weight)
     fine = []
     for r, (_, room, of, below) in RATES.items():
         over = f"({p}{r} > _hi_{r} and ({p}{r} - _hi_{r}) * ({p}{r} - _hi_{r}) * {p}{of} > {room * room}L)"
@@ -111,14 +133,14 @@ def _verdict(rated: DataFrame, min_docs: int, p: str) -> DataFrame:
     return out.withColumn(f"{p}kept", F.expr(f"not {p}base_failed and coalesce({' and '.join(fine)}, false)"))
 
 
-def quality_metrics(docs: DataFrame, min_docs: int = 200) -> DataFrame:
+def quality_metrics(docs: DataFrame, min_docs: int = 200, weight: int | None = None) -> DataFrame:
     """doc_id, the five counts, base_failed and kept of every document."""
     counted = with_rates(with_counts(docs.select("doc_id", "lang", "source", "text"))).drop("text")
-    a = _verdict(materialize(counted), min_docs, "_q_")
+    a = _verdict(materialize(counted), min_docs, "_q_", weight)
     return a.select("doc_id", *[F.col(f"_q_{c}").alias(c) for c in (*COUNTS, "base_failed", "kept")])
 
 
-def quality_filter(docs: DataFrame, min_docs: int = 200) -> DataFrame:
+def quality_filter(docs: DataFrame, min_docs: int = 200, weight: int | None = None) -> DataFrame:
     """The documents that the rules keep, with the columns of docs."""
     rated = materialize(with_rates(with_counts(docs)))
-    return _verdict(rated, min_docs, "_q_").filter("_q_kept").select(*docs.columns)
+    return _verdict(rated, min_docs, "_q_", weight).filter("_q_kept").select(*docs.columns)

@@ -4,7 +4,9 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -58,6 +60,35 @@ def test_quality_thresholds_follow_the_group(spark):
     assert all(got[i] for i in range(300)) and not any(got[1000 + i] for i in range(20)) and all(got[2000 + i] for i in range(300))
 
 
+@pytest.mark.parametrize("n", [20, 150, 199, 200])
+def test_small_groups_have_their_own_thresholds(spark, n):
+    rows = [(1000 + i, " ".join(f"w{1000 + i}x{j}" for j in range(30)), "en", "a") for i in range(1000)]
+    rows += [(2000 + i, " ".join(f"w{2000 + i}z{j}*" for j in range(30)), "en", "code") for i in range(n)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, frame, SF).collect()}
+    assert kept == {r[0] for r in rows}
+
+
+def test_merged_thresholds(spark, docs):
+    """Against weighted quartiles in fractions, value by value."""
+    weight, rated = 50, quality.materialize(quality.with_rates(quality.with_counts(docs)))
+    own, near, far = Counter(), Counter(), Counter()
+    for r in quality.sketches(rated).collect():
+        own[r.lang, r.source, r.rate, r.value] += r.n
+        near[r.lang, r.rate, r.value] += r.n
+        far[r.rate, r.value] += r.n
+    total = lambda c, *k: sum(n for x, n in c.items() if x[:-1] == k)
+    got = {(r._g_lang, r._g_source): r for r in quality.thresholds(rated, weight=weight).collect()}
+    for lang, source, rate in {x[:3] for x in own}:
+        a, b, w = total(own, lang, source, rate), total(near, lang, rate), total(far, rate)
+        upto, q = Fraction(0), []
+        for v in sorted(x[1] for x in far if x[0] == rate):
+            upto += own[lang, source, rate, v] + weight * (near[lang, rate, v] + weight * Fraction(far[rate, v], w)) / (b + weight)
+            q += [v] * sum(4 * upto >= k * (a + weight) for k in (1, 3)[len(q) :])
+        slack = quality.RATES[rate][0]
+        assert got[lang, source][f"_hi_{rate}"] == q[1] + 3 * (q[1] - q[0]) + slack and got[lang, source][f"_lo_{rate}"] == q[0] - 3 * (q[1] - q[0]) - slack
+
+
 def plain_secrets(text):
     text = text or ""
     spans = []
