@@ -24,7 +24,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,7 +118,8 @@ def tokenized(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END
             kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             arrays = [pa.array(o, t) for o, t in zip(out, kinds, strict=False)]
             if with_ids:
-                arrays.append(pa.array([np.frombuffer(b, "<u4").astype(np.int32) for b in out[5]], pa.list_(pa.int32())))
+                ends = np.append(0, np.cumsum([len(b) // 4 for b in out[5]])).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(out[5]), "<i4"))))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -215,24 +215,38 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     firsts = counts.select("length", "__shard", F.coalesce(before, F.lit(0)).alias("__first"))
     w = Window.partitionBy("length", "__shard").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = sharded.withColumn("__rank", F.row_number().over(w) - 1).join(firsts, ["length", "__shard"])
-    out = ranked.select(*pieces.columns, (F.col("__first") + F.col("__rank")).alias("__at"))
+    names = pieces.columns
+    out = ranked.select(*names, (F.col("__first") + F.col("__rank")).alias("__at"))
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = places.value
         span = int(max(p["rank"].max() if len(p["rank"]) else 0, 1)) + 1
         key = p["length"] * span + p["rank"]
-        for f in frames:
-            length, at = f["length"].to_numpy(np.int64), f.pop("__at").to_numpy(np.int64)
+        for batch in batches:
+            length, at = np.array(batch.column("length"), np.int64), np.array(batch.column("__at"), np.int64)
             k = np.searchsorted(key, length * span + np.minimum(at, span - 1), side="right") - 1
             bin_, nth = np.divmod(at - p["rank"][k], p["per"][k])
-            f["sequence_id"] = p["bin"][k] + bin_
-            f["offset"] = p["offset"][k] + nth * length
-            yield f
+            own = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(p["bin"][k] + bin_), pa.array(p["offset"][k] + nth * length)], names=[*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in pieces.schema.fields)
-    return out.mapInPandas(place, f"{fields}, sequence_id bigint, offset bigint")
+    return out.mapInArrow(place, f"{fields}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, with_ids: bool = True) -> DataFrame:
     """Every piece of every document with its sequence and place; with_ids adds the token ids."""
     return pack(tokenized(docs, vocabulary, size, end, with_ids), size)
+
+
+def without_ids(packed: DataFrame) -> DataFrame:
+    """packed with ids_crc32 computed from its ids, which are dropped."""
+    names = [c for c in packed.columns if c != "ids"]
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            at, raw = np.array(ids.offsets).tolist(), memoryview(np.array(ids.values, "<i4")).cast("B")
+            crc = pa.array([zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip(at, at[1:], strict=False)], pa.int64())
+            yield pa.RecordBatch.from_arrays([crc if c == "ids_crc32" else batch.column(c) for c in names], names=names)
+
+    return packed.mapInArrow(digest, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in packed.schema.fields if x.name != "ids"))

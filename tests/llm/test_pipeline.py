@@ -1,8 +1,12 @@
 """The pipeline, stage by stage, against plain versions of the stages."""
 
+import zlib
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
+from siftwell.llm import packing, repeats
+from siftwell.llm.queries import QUERIES
 
 from .conftest import SF
 from .test_copies import plain_components, plain_set
@@ -42,3 +46,16 @@ def test_stages_take_odd_rows(spark, odd_docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
     assert at.count() > 0
+
+
+def test_payload_is_made(spark, docs, monkeypatch):
+    """The pipeline returns the ids of its texts; the queries' digests come from the operators' ids and bytes."""
+    for r in corpus_pipeline.run(spark, SF).collect():
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+    made = []
+    for module, name in ((packing, "pack_documents"), (repeats, "remove_repeats")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), **b: made.append(out := f(*a, **b)) or out)
+    for query, column, digest in (("op8_best_fit_packing", "ids", "ids_crc32"), ("op10_suffix_array_dedup", "kept", "kept_sha256")):
+        got = QUERIES[query](spark, SF)
+        assert column in made[-1].columns and column not in got.columns
+        assert Counter(got.select("doc_id", digest).collect()) == Counter(made[-1].select("doc_id", digest).collect())
