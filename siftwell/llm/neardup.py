@@ -87,8 +87,8 @@ def _sign(k: int, bands: int):
                 of = np.zeros(len(n) + 1, np.int32)
                 of[1:] = np.cumsum(np.where(n > 0, bands, 0))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(of), pa.array(keys.ravel()))],
-                    names=["doc_id", "n", "k1", "k2", "bands"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(of), pa.array(keys.ravel()))],
+                    names=["doc_id", "t", "n", "k1", "k2", "bands"],
                 )
 
     return sign
@@ -171,21 +171,23 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "comp")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document."""
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, t, n, least) of every row: t tells the texts of one doc_id apart, least is the least (doc_id, t) of the row's group."""
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = materialize(docs.select("doc_id", "text").mapInArrow(_sign(k, bands_for(percent)), f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, bands array<bigint>"))
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    signed = materialize(named.mapInArrow(_sign(k, bands_for(percent)), f"doc_id {kind}, t bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"))
     usable = signed.filter("n > 0 and doc_id is not null")
-    reps = materialize(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
-    nodes = usable.join(reps.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("rep"), "n", "bands").dropDuplicates(["rep"])
+    # A node is a set of shingles: a doc_id that stands on several texts is in several nodes.
+    reps = materialize(usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t")).alias("least")).withColumn("rep", F.monotonically_increasing_id()))
+    nodes = usable.join(reps.select("rep", "k1", "k2", "least.*"), ["doc_id", "t", "k1", "k2"]).select("rep", "n", "bands").dropDuplicates(["rep"])
     members = nodes.select("rep", "n", F.explode(F.array_distinct("bands")).alias("key")).distinct()
     met = members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     active = materialize(members.join(met, "key"))
     degrees = active.groupBy("rep").agg(F.sum(F.col("m") - 1).alias("deg"))
     active = materialize(active.join(degrees, "rep").select("key", "rep", "n", "deg"))
     texts = materialize(
-        docs.select(F.col("doc_id").alias("rep"), "text").join(degrees.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+        named.join(reps.join(degrees.select("rep"), "rep", "left_semi").select("rep", "least.*"), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("rep", "text")
     )
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     links, decided, comps = None, None, None
@@ -208,26 +210,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if decided is not None:
             pairs = pairs.join(decided, ["a", "b"], "left_anti")
         known = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
-        judged = materialize(known.select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), f"a {kind}, b {kind}, ok boolean"))
+        judged = materialize(known.select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a bigint, b bigint, ok boolean"))
         decided = judged.select("a", "b") if decided is None else decided.union(judged.select("a", "b"))
         new = judged.filter("ok").select("a", "b")
         if turn == LEADERS:
             large = going.filter(F.col("m") > SMALL).withColumn("blocks", F.ceil(F.col("m") / TILE)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
             large = large.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("key", "rep", "n", "comp", "block", F.least("block", "other").alias("t0"), F.greatest("block", "other").alias("t1"))
             full = large.join(nodes.select("rep", "bands"), "rep").join(texts, "rep")
-            new = new.union(full.groupBy("key", "t0", "t1").applyInArrow(_tile(k, percent), f"a {kind}, b {kind}"))
+            new = new.union(full.groupBy("key", "t0", "t1").applyInArrow(_tile(k, percent), "a bigint, b bigint"))
         new = materialize(new)
         links = new if links is None else links.union(new)
         if not new.isEmpty():
             comps = components(links)
-    owner = reps if comps is None else reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("rep"))
-    out = signed.select("doc_id", "n", "k1", "k2").join(owner, ["k1", "k2"], "left")
-    component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("rep"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    owner = reps.withColumn("comp", F.col("rep")) if comps is None else reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    owner = owner.join(owner.groupBy("comp").agg(F.min("least").alias("first")), "comp").select("k1", "k2", F.col("first").alias("least"))
+    out = signed.select("doc_id", "t", "n", "k1", "k2").join(owner, ["k1", "k2"], "left")
+    return out.select("doc_id", "t", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("least")).alias("least"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document."""
+    component = F.coalesce("least.doc_id", "doc_id")
+    return _grouped(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group (the smallest doc_id; of rows that repeat it, one); rows without doc_id stay."""
-    gone = near_duplicates(docs, k, percent).filter("not kept").select("doc_id").distinct()
-    identified = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    """One document of each group (the smallest doc_id; of rows that repeat it, one); rows without doc_id stay.
+
+    Rows are told apart by doc_id and text, so a doc_id that stands on several texts loses only those with a copy.
+    """
+    gone = _grouped(docs, k, percent).filter("least.doc_id != doc_id or least.t != t").select("doc_id", F.col("t").alias("__t")).distinct()
+    named = docs.filter("doc_id is not null").withColumn("__t", F.xxhash64("text"))
+    identified = named.join(gone, ["doc_id", "__t"], "left_anti").dropDuplicates(["doc_id", "__t", "text"])
     return identified.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

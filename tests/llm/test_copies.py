@@ -86,6 +86,16 @@ def test_drop_near_duplicates(copies, odd_docs):
     assert Counter(r.doc_id for r in odd.collect()) == Counter([1, 2, 3, 4, 5, None, 8, 9, 10])
 
 
+def test_a_doc_id_on_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, b), (5, a), (5, b), (7, a + " z"), (7, c), (8, c + " z"), (9, c), (9, c + " y")]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "doc_id bigint, text string")
+        assert sorted(map(tuple, neardup.drop_near_duplicates(frame).collect())) == [(3, b), (5, a), (7, c)]
+        got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(frame).collect()}
+        assert got == {(3, 3, True), (5, 5, True), (5, 3, False), (7, 5, False), (7, 7, True), (8, 7, False), (9, 7, False)}
+
+
 def test_signatures_estimate_similarity():
     r = np.random.RandomState(1)
     for share in (0.3, 0.6, 0.9):
