@@ -4,13 +4,14 @@ Lengths are what packing depends on, and there are at most `size` different ones
 the largest unpacked length opens a bin, the bin is filled greedily with the largest lengths that fit, then its smallest
 document gives way to two unpacked ones that fill the widened gap more tightly.  A bin's pattern is repeated as often
 as the counts allow, so the work depends on `size` and not on the number of documents, and the whole corpus is packed
-as one.  Documents are then ranked within their length (counts per shard and length give each shard its first rank) and
-take the places of that rank.
+as one.  Documents are then ranked within their length (their number within the task that wrote them, plus the counts of
+earlier tasks) and take the places of that rank.
 
-Tokens: byte-level BPE ids of the whole text, then the end id.  Only longer documents are cut, into `size`-token
+Tokens: the tokenizer's ids of the whole text, then the end id.  Only longer documents are cut, into `size`-token
 pieces, the first of which may be shorter.  A text is encoded by the pieces between its single spaces, where the
-vocabulary's splitting rule always cuts (as it does between letters and marks); each distinct piece is encoded once and
-remembered.  Texts in which a space stands beside other white space or at an end are encoded as a whole.
+vocabulary's splitting rule always cuts; each distinct piece is encoded once and remembered.  Where a space stands
+beside other white space or at an end, the segment (of about STEP_CHARS characters) is encoded as a whole, and so is a
+text with a special token's string, which gets the special id as it does from the tokenizer.
 
 Defined cases: null text counts as empty (one token, the end id); repeated rows are packed each; null doc_ids are packed
 like others; an empty table gives an empty result.
@@ -18,6 +19,7 @@ like others; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -30,100 +32,172 @@ from pyspark.sql import functions as F
 
 from .common import materialize, prepare
 
-SIZE, END, REMEMBERED = 2048, 0, 1_000_000
-_MARKED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:]{1,4})")
-_encoders: dict[str, tuple] = {}
+SIZE, END, REMEMBERED, STEP_CHARS = 2048, 0, 300_000, 1 << 20
 
+# The vocabulary's splitting rule, for text of the line end, visible ASCII and Latin-1 letters.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile("[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+#: Rows of counts (24 bytes each) that are broadcast at most.
+MAX_COUNTS = 1_000_000
+_encoders: dict[str, _Encoder] = {}
 
-def _encoder(path: str):
-    """(function text -> packed little-endian uint32 ids) for a tokenizer file."""
-    if path not in _encoders:
-        import os
 
+def _byte_characters() -> dict[int, str]:
+    """The byte-level alphabet: a visible Latin-1 byte stands for itself, the others for characters from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+def _segments(text: str) -> Iterator[str]:
+    """text cut at single spaces (left out) into segments of little more than STEP_CHARS."""
+    at = 0
+    while len(text) - at > STEP_CHARS:
+        cut = text.find(" ", at + STEP_CHARS)
+        while cut >= 0 and (text[cut - 1].isspace() or not text[cut + 1 : cut + 2].strip()):
+            cut = text.find(" ", cut + 1)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:]
+
+
+class _Encoder:
+    """Texts to packed little-endian uint32 ids, for a tokenizer file.
+
+    A piece between single spaces is encoded once and remembered: its parts under the splitting rule go to the
+    tokenizer's model, and pieces with other characters to the whole tokenizer.  What is remembered is bounded: at
+    REMEMBERED entries a generation ends, and pieces that come again are taken over from the last one.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # in a text, their strings are ordinary text
-
-        def whole(texts: list[str]) -> list[bytes]:
-            return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-        line_end = tok.encode("\n", add_special_tokens=False).ids
-
-        def spaced(pieces: list[str]) -> list[bytes]:
-            """Each piece behind a space; encoded as lines of one text where no piece has a line end of its own."""
-            lines = "\n".join(f" {x}" for x in pieces)
-            ids = np.frombuffer(whole([lines])[0], "<u4")
-            cuts = np.flatnonzero(ids == line_end[0])
-            if len(line_end) != 1 or lines.count("\n") != len(pieces) - 1 or len(cuts) != len(pieces) - 1:
-                return whole([f" {x}" for x in pieces])
-            raw, cuts = ids.tobytes(), (cuts * 4).tolist()
-            return [raw[a:e] for a, e in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
-
-        later: dict[str, bytes] = {}  # what stands behind a space
-        marks: dict[str, bytes] = {}
-
-        def learn(new: list[str]) -> None:
-            parts = {x: m.groups() for x in new if (m := _MARKED.fullmatch(x))}
-            plain = {b for b, _ in parts.values() if b not in later}.union(x for x in new if x not in parts)
-            split = [x for x in plain if "\n" in x]
-            plain = [x for x in plain if "\n" not in x]
-            later.update(zip(split, whole([f" {x}" for x in split]), strict=True))
-            if plain:
-                later.update(zip(plain, spaced(plain), strict=True))
-            for m in {m for _, m in parts.values()} - marks.keys():
-                marks[m] = whole([m])[0]
-            later.update((x, later[b] + marks[m]) for x, (b, m) in parts.items())
-
-        def encode(text: str) -> bytes:
-            if not text:
-                return b""
-            head, *rest = text.split(" ")
-            if not rest or not head or head[-1].isspace():
-                return whole([text])[0]
-            if new := [x for x in set(rest) if x not in later]:
-                if any(not x or x[0].isspace() or x[-1].isspace() for x in new):
-                    return whole([text])[0]
-                if len(later) > REMEMBERED:
-                    later.clear()
-                    marks.clear()
-                    new = [*set(rest)]
-                learn(new)
-            return whole([head])[0] + b"".join(map(later.__getitem__, rest))
-
-        _encoders[path] = (encode, whole)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.characters = _byte_characters()
+        self.spaced: dict[str, bytes] = {}  # behind a space
+        self.older: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def part(self, x: str) -> bytes:
+        """The ids of what the splitting rule leaves whole."""
+        return array("I", [t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.characters))]).tobytes()
+
+    def parts(self, found: list[str]) -> Iterator[bytes]:
+        for x in found:
+            if x[0] == " ":
+                if (ids := self.spaced.get(x[1:])) is None:
+                    ids = self.spaced[x[1:]] = self.part(x)
+            elif (ids := self.bare.get(x)) is None:
+                ids = self.bare[x] = self.part(x)
+            yield ids
+
+    def learn(self, new: set[str]) -> None:
+        other: list[str] = []
+        for x in new:
+            if x in self.spaced:
+                continue
+            if (ids := self.older.get(x)) is not None:
+                self.spaced[x] = ids
+            elif x.isascii() and x.isalpha():
+                self.spaced[x] = array("I", [t.id for t in self.model.tokenize(self.characters[32] + x)]).tobytes()
+            elif _PLAIN.fullmatch(x):
+                self.spaced[x] = b"".join(self.parts(_CUT.findall(f" {x}")))
+            else:
+                other.append(x)
+        self.spaced.update(zip(other, self.whole([f" {x}" for x in other]), strict=True))
+
+    def segments(self, given: list[tuple[str, bool]]) -> list[bytes]:
+        """Ids of segments (text, whether a space stood before it)."""
+        rows = []
+        for text, behind in given:
+            pieces = text.split(" ")
+            rows.append((None if behind else pieces.pop(0), pieces))
+        if len(self.spaced) + len(self.bare) > REMEMBERED:
+            self.older, self.spaced, self.bare = self.spaced, {}, {}
+        new = set().union(*(pieces for _, pieces in rows)).difference(self.spaced)
+        odd = {x for x in new if not x or x[0].isspace() or x[-1].isspace()}
+        self.learn(new - odd)
+        out = []
+        for (text, behind), (head, pieces) in zip(given, rows, strict=True):
+            if odd and not odd.isdisjoint(pieces) or head is not None and (not head and pieces or head[-1:].isspace()):
+                out.append(self.whole([f" {text}" if behind else text])[0])
+                continue
+            first = b""
+            if head:
+                first = b"".join(self.parts(_CUT.findall(head))) if _PLAIN.fullmatch(head) else self.whole([head])[0]
+            out.append(first + b"".join(map(self.spaced.__getitem__, pieces)))
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out = [b""] * len(texts)
+        held: list[tuple[int, str, bool]] = []
+        size = 0
+
+        def flush() -> None:
+            for (i, _, _), ids in zip(held, self.segments([(t, behind) for _, t, behind in held]), strict=True):
+                out[i] += ids
+            held.clear()
+
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.special):
+                out[i] = self.whole([text])[0]
+                continue
+            for k, segment in enumerate(_segments(text) if text else ()):
+                held.append((i, segment, k > 0))
+                size += len(segment)
+                if size >= STEP_CHARS:
+                    flush()
+                    size = 0
+        flush()
+        return out
+
+
+def encoder(path: str) -> _Encoder:
+    """One encoder for each file and Python worker."""
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
     return _encoders[path]
 
 
 def tokenized(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, with_ids: bool = True) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of every document."""
+    """(doc_id, piece, start, length, ids_crc32, nth[, ids]) of every document; nth numbers a task's pieces of one length."""
     prepare(docs.sparkSession)
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "nth", *(["ids"] if with_ids else [])]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, _ = _encoder(vocabulary)
+        encode = encoder(vocabulary)
         tail = np.array([end], "<u4").tobytes()
+        seen = [0] * (size + 1)
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(x.as_py() or "") + tail
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+                ids += tail
                 n, at, k = len(ids) // 4, 0, 0
                 while at < n:
                     upto = at + ((n % size or size) if k == 0 else size)
                     part = ids[4 * at : 4 * upto]
-                    for o, v in zip(out, (doc_id, k, at, upto - at, zlib.crc32(part), part), strict=False):
+                    for o, v in zip(out, (doc_id, k, at, upto - at, zlib.crc32(part), seen[upto - at], part), strict=False):
                         o.append(v)
+                    seen[upto - at] += 1
                     at, k = upto, k + 1
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            kinds = [batch.schema.field(0).type, pa.int32(), *[pa.int64()] * 4]
             arrays = [pa.array(o, t) for o, t in zip(out, kinds, strict=False)]
             if with_ids:
-                ends = np.append(0, np.cumsum([len(b) // 4 for b in out[5]])).astype(np.int32)
-                arrays.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(out[5]), "<i4"))))
+                ends = np.append(0, np.cumsum([len(b) // 4 for b in out[6]])).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(out[6]), "<i4"))))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(pieces, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(pieces, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, nth bigint" + ", ids array<int>" * with_ids)
 
 
 def best_two_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[list[int], int]]:
@@ -202,35 +276,32 @@ def _places(plan: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
 
 
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
-    """pieces (of `tokenized`) with sequence_id and offset."""
-    kept = materialize(pieces)
+    """pieces (of `tokenized`) with sequence_id and offset in place of nth.
+
+    A piece's rank among those of its length is its number in its task, fixed when the pieces are written, plus the
+    count of earlier tasks.  So pieces with their ids aren't sorted; counts by (length, task) meet them, broadcast up to
+    MAX_COUNTS rows and by a shuffle beyond.
+    """
+    kept = materialize(pieces.withColumn("__task", F.spark_partition_id()))
     spark = kept.sparkSession
-    n = kept.count()
-    shards = max(16, n // 20_000)
-    sharded = kept.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
-    counts = sharded.groupBy("length", "__shard").agg(F.count("*").alias("n"))
+    counts = materialize(kept.groupBy("length", "__task").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     places = spark.sparkContext.broadcast(_places(best_two_fit(histogram, size)))  # grows with size, not with the data
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1))
-    firsts = counts.select("length", "__shard", F.coalesce(before, F.lit(0)).alias("__first"))
-    w = Window.partitionBy("length", "__shard").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = sharded.withColumn("__rank", F.row_number().over(w) - 1).join(firsts, ["length", "__shard"])
-    names = pieces.columns
-    out = ranked.select(*names, (F.col("__first") + F.col("__rank")).alias("__at"))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = counts.select("length", "__task", F.coalesce(before, F.lit(0)).alias("__first"))
+    met = kept.join(F.broadcast(firsts) if counts.count() <= MAX_COUNTS else firsts, ["length", "__task"])
+
+    @F.arrow_udf("sequence_id bigint, offset bigint")
+    def place(length: pa.Array, at: pa.Array) -> pa.Array:
         p = places.value
         span = int(max(p["rank"].max() if len(p["rank"]) else 0, 1)) + 1
-        key = p["length"] * span + p["rank"]
-        for batch in batches:
-            length, at = np.array(batch.column("length"), np.int64), np.array(batch.column("__at"), np.int64)
-            k = np.searchsorted(key, length * span + np.minimum(at, span - 1), side="right") - 1
-            bin_, nth = np.divmod(at - p["rank"][k], p["per"][k])
-            own = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(p["bin"][k] + bin_), pa.array(p["offset"][k] + nth * length)], names=[*names, "sequence_id", "offset"])
+        n, rank = np.array(length, np.int64), np.array(at, np.int64)
+        k = np.searchsorted(p["length"] * span + p["rank"], n * span + np.minimum(rank, span - 1), side="right") - 1
+        bin_, nth = np.divmod(rank - p["rank"][k], p["per"][k])
+        return pa.StructArray.from_arrays([pa.array(p["bin"][k] + bin_), pa.array(p["offset"][k] + nth * n)], names=["sequence_id", "offset"])
 
-    fields = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in pieces.schema.fields)
-    return out.mapInArrow(place, f"{fields}, sequence_id bigint, offset bigint")
+    names = [c for c in pieces.columns if c != "nth"]
+    return met.select(*names, place("length", F.col("__first") + F.col("nth")).alias("__place")).select(*names, "__place.*")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, with_ids: bool = True) -> DataFrame:
@@ -240,13 +311,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int
 
 def without_ids(packed: DataFrame) -> DataFrame:
     """packed with ids_crc32 computed from its ids, which are dropped."""
-    names = [c for c in packed.columns if c != "ids"]
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            at, raw = np.array(ids.offsets).tolist(), memoryview(np.array(ids.values, "<i4")).cast("B")
-            crc = pa.array([zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip(at, at[1:], strict=False)], pa.int64())
-            yield pa.RecordBatch.from_arrays([crc if c == "ids_crc32" else batch.column(c) for c in names], names=names)
+    @F.arrow_udf("bigint")
+    def digest(ids: pa.Array) -> pa.Array:
+        at, raw = np.array(ids.offsets).tolist(), memoryview(np.array(ids.values, "<i4")).cast("B")
+        return pa.array([zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip(at, at[1:], strict=False)], pa.int64())
 
-    return packed.mapInArrow(digest, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in packed.schema.fields if x.name != "ids"))
+    return packed.withColumn("ids_crc32", digest("ids")).drop("ids")

@@ -1,6 +1,7 @@
 """Language ID, quality rules, secret scans and packing against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -10,6 +11,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from siftwell.llm import langid, packing, quality, secrets
 from siftwell.llm.queries import QUERIES
 
@@ -151,8 +153,8 @@ def test_packing(docs, odd_docs):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    for frame in (docs, odd_docs):
+    marked = odd_docs.limit(2).withColumn("text", F.lit("a <|endoftext|> b <|endoftext|>"))
+    for frame in (docs, odd_docs, marked):
         got = packing.pack_documents(frame, path).collect()
         want = Counter()
         for r in frame.collect():
@@ -178,10 +180,32 @@ def test_packing(docs, odd_docs):
     assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a  b", " a b", "a b ", "a\n b", "a \nb", "a\nb c", "don't we'll <|endoftext|> x", "　x  y", "café \U0001f600 x", "\x1c a b"])
+ODD_TEXTS = ["a  b", " a b", "a b ", "a\n b", "a \nb", "a\nb c", "don't we'll <|endoftext|> x", "　x  y", "café \U0001f600 x", "\x1c a b", "a\n\nb c's 'll x", "\n\na b", "a\tb c", "ª º µ × ÷ x", "ab12cd 3.5% a***b", "\r\n a", "­a b", "x\u00a0y z"]
+
+
+@pytest.mark.parametrize("text", ODD_TEXTS)
 def test_encoding_by_pieces(text):
-    encode, whole = packing._encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    assert encode(text) == whole([text])[0]
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert packing.encoder(path)([text]) == [np.array(want, "<u4").tobytes()]
+
+
+def test_encoding_of_random_texts(monkeypatch):
+    """Random characters of all kinds, in small segments and generations, against the untouched tokenizer."""
+    from tokenizers import Tokenizer
+
+    path, r = public_tokenizers.path("byte_bpe_50k.json"), random.Random(4)
+    monkeypatch.setattr(packing, "STEP_CHARS", 30)
+    monkeypatch.setattr(packing, "REMEMBERED", 200)
+    chars = ["a", "b", "E", "é", "ß", "ÿ", "ñ", "'s", "'", "1", "٣", ".", "*", "$", "\n", "\t", "\r", "\x85", "\xa0", "×", "µ", "日", "\U0001f600", "　", "<|endoftext|>"]
+    texts = ["".join(r.choice([*chars, " ", " ", " ", "the", "ing"]) for _ in range(r.randint(0, 200))) for _ in range(600)]
+    texts += [" ".join(r.choice(["word", "Wörter,", "a.\nB", "x***", "don't", "12,5", "é"]) for _ in range(r.randint(1, 300))) for _ in range(300)]
+    tok, encode = Tokenizer.from_file(path), packing._Encoder(path)
+    for at in range(0, len(texts), 50):
+        some = texts[at : at + 50]
+        assert encode(some) == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(some, add_special_tokens=False)]
 
 
 def test_best_two_fit_replaces_the_smallest():
