@@ -23,23 +23,24 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import materialize, prepare, utf8
 
-SIZE, END, REMEMBERED, STEP_CHARS = 2048, 0, 300_000, 1 << 20
+SIZE, END, REMEMBERED, STEP_CHARS = 2048, 0, 450_000, 1 << 20
 
 # The vocabulary's splitting rule, for text of the line end, visible ASCII and Latin-1 letters.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _PLAIN = re.compile("[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_MARKED = re.compile(rf"([{_LETTERS}]+)([^\s'{_LETTERS}0-9]+)", re.ASCII)
 _CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
-#: Rows of counts (24 bytes each) that are broadcast at most.
-MAX_COUNTS = 1_000_000
+#: Rows of counts that are broadcast at most (some 120 bytes each as a hash table).
+MAX_COUNTS = 400_000
 _encoders: dict[str, _Encoder] = {}
 
 
@@ -64,6 +65,48 @@ def _segments(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+class _Odd(Exception):
+    """A piece beside other white space."""
+
+
+class _Bare(dict):
+    """What the splitting rule leaves whole, with or without a space before it; a missing entry is made once."""
+
+    def __init__(self, model: Callable) -> None:
+        self.model, self.characters = model, _byte_characters()
+
+    def __missing__(self, x: str) -> bytes:
+        ids = self[x] = self.made(x)
+        return ids
+
+    def made(self, x: str) -> bytes:
+        return array("I", [t.id for t in self.model(x.encode().decode("latin-1").translate(self.characters))]).tobytes()
+
+
+class _Spaced(dict):
+    """Pieces and the space before them; `older` is the last generation."""
+
+    def __init__(self, model: Callable, whole: Callable, older: dict[str, bytes]) -> None:
+        self.model, self.whole, self.older, self.bare = model, whole, older, _Bare(model)
+        self.space = self.bare.characters[32]
+
+    def __missing__(self, x: str) -> bytes:
+        if (ids := self.older.get(x)) is None:
+            if x.isascii() and x.isalpha():
+                ids = array("I", [t.id for t in self.model(self.space + x)]).tobytes()
+            elif m := _MARKED.fullmatch(x):
+                ids = self[m[1]] + self.bare[m[2]]
+            elif not x or x[0].isspace() or x[-1].isspace():
+                raise _Odd
+            elif _PLAIN.fullmatch(x):
+                first, *more = _CUT.findall(f" {x}")
+                ids = (self[first[1:]] if more else self.bare.made(first)) + b"".join(map(self.bare.__getitem__, more))
+            else:
+                ids = self.whole([f" {x}"])[0]
+        self[x] = ids
+        return ids
+
+
 class _Encoder:
     """Texts to packed little-endian uint32 ids, for a tokenizer file.
 
@@ -77,88 +120,34 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.characters = _byte_characters()
-        self.spaced: dict[str, bytes] = {}  # behind a space
-        self.older: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.spaced = _Spaced(self.tokenizer.model.tokenize, self.whole, {})
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def part(self, x: str) -> bytes:
-        """The ids of what the splitting rule leaves whole."""
-        return array("I", [t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.characters))]).tobytes()
-
-    def parts(self, found: list[str]) -> Iterator[bytes]:
-        for x in found:
-            if x[0] == " ":
-                if (ids := self.spaced.get(x[1:])) is None:
-                    ids = self.spaced[x[1:]] = self.part(x)
-            elif (ids := self.bare.get(x)) is None:
-                ids = self.bare[x] = self.part(x)
-            yield ids
-
-    def learn(self, new: set[str]) -> None:
-        other: list[str] = []
-        for x in new:
-            if x in self.spaced:
-                continue
-            if (ids := self.older.get(x)) is not None:
-                self.spaced[x] = ids
-            elif x.isascii() and x.isalpha():
-                self.spaced[x] = array("I", [t.id for t in self.model.tokenize(self.characters[32] + x)]).tobytes()
-            elif _PLAIN.fullmatch(x):
-                self.spaced[x] = b"".join(self.parts(_CUT.findall(f" {x}")))
-            else:
-                other.append(x)
-        self.spaced.update(zip(other, self.whole([f" {x}" for x in other]), strict=True))
-
-    def segments(self, given: list[tuple[str, bool]]) -> list[bytes]:
-        """Ids of segments (text, whether a space stood before it)."""
-        rows = []
-        for text, behind in given:
-            pieces = text.split(" ")
-            rows.append((None if behind else pieces.pop(0), pieces))
-        if len(self.spaced) + len(self.bare) > REMEMBERED:
-            self.older, self.spaced, self.bare = self.spaced, {}, {}
-        new = set().union(*(pieces for _, pieces in rows)).difference(self.spaced)
-        odd = {x for x in new if not x or x[0].isspace() or x[-1].isspace()}
-        self.learn(new - odd)
-        out = []
-        for (text, behind), (head, pieces) in zip(given, rows, strict=True):
-            if odd and not odd.isdisjoint(pieces) or head is not None and (not head and pieces or head[-1:].isspace()):
-                out.append(self.whole([f" {text}" if behind else text])[0])
-                continue
-            first = b""
-            if head:
-                first = b"".join(self.parts(_CUT.findall(head))) if _PLAIN.fullmatch(head) else self.whole([head])[0]
-            out.append(first + b"".join(map(self.spaced.__getitem__, pieces)))
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out = [b""] * len(texts)
-        held: list[tuple[int, str, bool]] = []
-        size = 0
-
-        def flush() -> None:
-            for (i, _, _), ids in zip(held, self.segments([(t, behind) for _, t, behind in held]), strict=True):
-                out[i] += ids
-            held.clear()
-
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                out[i] = self.whole([text])[0]
-                continue
-            for k, segment in enumerate(_segments(text) if text else ()):
-                held.append((i, segment, k > 0))
-                size += len(segment)
-                if size >= STEP_CHARS:
-                    flush()
-                    size = 0
-        flush()
-        return out
+    def segment(self, text: str, behind: bool) -> bytes:
+        """The ids of a text, behind a space or not."""
+        pieces, ids = text.split(" "), b""
+        try:
+            if not behind:
+                head = pieces.pop(0)
+                if pieces and (not head or head[-1].isspace()):
+                    raise _Odd
+                ids = b"".join(map(self.spaced.bare.__getitem__, _CUT.findall(head))) if _PLAIN.fullmatch(head) else self.whole([head])[0]
+            return ids + b"".join(map(self.spaced.__getitem__, pieces))
+        except _Odd:
+            return self.whole([f" {text}" if behind else text])[0]
+
+    def __call__(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if any(s in text for s in self.special):
+            return self.whole([text])[0]
+        if len(self.spaced) + len(self.spaced.bare) > REMEMBERED:
+            self.spaced.older = {}
+            self.spaced = _Spaced(self.spaced.model, self.whole, self.spaced)
+        return b"".join([self.segment(x, k > 0) for k, x in enumerate(_segments(text))])
 
 
 def encoder(path: str) -> _Encoder:
@@ -169,9 +158,12 @@ def encoder(path: str) -> _Encoder:
 
 
 def tokenized(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, with_ids: bool = True) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, nth[, ids]) of every document; nth numbers a task's pieces of one length."""
+    """(doc_id, piece, start, length, ids_crc32, nth[, raw]) of every document; nth numbers a task's pieces of one length.
+
+    raw has the ids as little-endian 32-bit integers, which is cheaper to write and read than an array.
+    """
     prepare(docs.sparkSession)
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "nth", *(["ids"] if with_ids else [])]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "nth", *(["raw"] if with_ids else [])]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
@@ -179,7 +171,7 @@ def tokenized(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END
         seen = [0] * (size + 1)
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), map(encode, batch.column(1).to_pylist()), strict=True):
                 ids += tail
                 n, at, k = len(ids) // 4, 0, 0
                 while at < n:
@@ -192,12 +184,11 @@ def tokenized(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END
             kinds = [batch.schema.field(0).type, pa.int32(), *[pa.int64()] * 4]
             arrays = [pa.array(o, t) for o, t in zip(out, kinds, strict=False)]
             if with_ids:
-                ends = np.append(0, np.cumsum([len(b) // 4 for b in out[6]])).astype(np.int32)
-                arrays.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(out[6]), "<i4"))))
+                arrays.append(pa.array(out[6], pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(pieces, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, nth bigint" + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(pieces, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, nth bigint" + ", raw binary" * with_ids)
 
 
 def best_two_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[list[int], int]]:
@@ -276,7 +267,7 @@ def _places(plan: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
 
 
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
-    """pieces (of `tokenized`) with sequence_id and offset in place of nth.
+    """pieces (of `tokenized`) with sequence_id and offset in place of nth, and ids (array<int>) in place of raw.
 
     A piece's rank among those of its length is its number in its task, fixed when the pieces are written, plus the
     count of earlier tasks.  So pieces with their ids aren't sorted; counts by (length, task) meet them, broadcast up to
@@ -300,8 +291,14 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
         bin_, nth = np.divmod(rank - p["rank"][k], p["per"][k])
         return pa.StructArray.from_arrays([pa.array(p["bin"][k] + bin_), pa.array(p["offset"][k] + nth * n)], names=["sequence_id", "offset"])
 
-    names = [c for c in pieces.columns if c != "nth"]
-    return met.select(*names, place("length", F.col("__first") + F.col("nth")).alias("__place")).select(*names, "__place.*")
+    @F.arrow_udf("array<int>")
+    def listed(raw: pa.Array) -> pa.Array:
+        data, offsets = utf8(raw)
+        return pa.ListArray.from_arrays(pa.array(((offsets - offsets[0]) // 4).astype(np.int32)), pa.array(data[offsets[0] : offsets[-1]].view("<i4")))
+
+    own = [listed("raw").alias("ids") if c == "raw" else F.col(c) for c in pieces.columns if c != "nth"]
+    names = ["ids" if c == "raw" else c for c in pieces.columns if c != "nth"]
+    return met.select(*own, place("length", F.col("__first") + F.col("nth")).alias("__place")).select(*names, "__place.*")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, with_ids: bool = True) -> DataFrame:
