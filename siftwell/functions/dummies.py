@@ -39,13 +39,34 @@ DISTRIBUTIONS = {
 }
 
 
-def dummies(n: int, p: int, layers: int, k: int, seed: int, strategy: str = "standard", distribution: str = "normal") -> np.ndarray:
+def cluster_factors(m: np.ndarray, groups: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(columns, lower factor of their covariance) of each group of standardized columns."""
+    out = []
+    for g in np.unique(groups):
+        of = np.flatnonzero(groups == g)
+        c = m[:, of].T @ m[:, of] / (len(m) - 1)
+        out.append((of, np.linalg.cholesky(c + 1e-10 * np.eye(len(of)))))
+    return out
+
+
+def _clustered(g: np.random.Generator, n: int, p: int, factors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Normal columns with the covariance of each group."""
+    out = g.standard_normal((n, p))
+    for of, low in factors:
+        out[:, of] = out[:, of] @ low.T
+    return out
+
+
+def dummies(n: int, p: int, layers: int, k: int, seed: int, strategy: str = "standard", distribution: str = "normal", factors: list | None = None) -> np.ndarray:
     """n x (layers * p) dummies of experiment k.
 
     standard and seeded: fresh draws for each number of layers; hconcat: a layer is the same whatever follows it;
-    permutation: one base for all k, its rows shuffled by k (k = 0: as drawn); skipl draws like standard.
+    permutation: one base for all k, its rows shuffled by k (k = 0: as drawn); skipl draws like standard.  With
+    `factors` (of cluster_factors) a layer's columns are correlated within groups.
     """
-    draw = DISTRIBUTIONS[distribution]
+    draw = DISTRIBUTIONS[distribution] if factors is None else lambda g, n, p: _clustered(g, n, p, factors)
+    if factors is not None and strategy.startswith("permutation"):
+        raise ValueError("rows of grouped dummies aren't permuted")
     if strategy.startswith("permutation"):
         base = np.hstack([draw(_generator(seed, 0, j), n, p) for j in range(layers)])
         return base if k == 0 else base[_generator(seed, k, 1 << 20).permutation(n)]

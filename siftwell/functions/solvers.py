@@ -163,15 +163,41 @@ SOLVERS: dict[str, Callable[..., Iterator[np.ndarray]]] = {
 }
 
 
-def supports(path: Iterator[np.ndarray], p: int, t_stop: int, exact: bool = False) -> list[np.ndarray]:
-    """Active real columns at the step where dummy 1, 2, ... t_stop entered; with `exact`, a count that is skipped has
-    none.  A path that ends early leaves the list short."""
+def states(path: Iterator[np.ndarray], p: int, t_stop: int, exact: bool = False) -> list[np.ndarray]:
+    """Coefficients at the step where dummy 1, 2, ... t_stop entered; with `exact`, a count that is skipped has none.
+    A path that ends early leaves the list short."""
     eps, out = np.finfo(float).eps, []
     for beta in path:
         n = int((np.abs(beta[p:]) > eps).sum())
-        real = np.flatnonzero(np.abs(beta[:p]) > eps)
         while len(out) < min(n, t_stop):
-            out.append(real if not exact or len(out) + 1 == n else real[:0])
+            out.append(beta if not exact or len(out) + 1 == n else np.zeros_like(beta))
         if len(out) >= t_stop:
             break
     return out
+
+
+def supports(path: Iterator[np.ndarray], p: int, t_stop: int, exact: bool = False) -> list[np.ndarray]:
+    """Active real columns at those steps."""
+    return [np.flatnonzero(np.abs(b[:p]) > np.finfo(float).eps) for b in states(path, p, t_stop, exact)]
+
+
+def trace(z: np.ndarray, y: np.ndarray, path: Iterator[np.ndarray], steps: int | None = None) -> dict[str, list]:
+    """What a path did: for each step the residual sum of squares, R2, the degrees of freedom (active columns), Mallows'
+    Cp against the residual variance of the last step, and signed actions (j + 1 entered, -(j + 1) left)."""
+    eps, was = np.finfo(float).eps, np.zeros(z.shape[1], bool)
+    out: dict[str, list] = {"rss": [], "r2": [], "dof": [], "actions": [], "active": []}
+    for k, beta in enumerate(path):
+        if steps is not None and k >= steps:
+            break
+        on, r = np.abs(beta) > eps, y - z @ beta
+        out["rss"].append(float(r @ r))
+        out["r2"].append(1 - float(r @ r) / float(y @ y))
+        out["dof"].append(int(on.sum()))
+        out["actions"].append([*(np.flatnonzero(on & ~was) + 1).tolist(), *(-np.flatnonzero(was & ~on) - 1).tolist()])
+        out["active"].append(np.flatnonzero(on).tolist())
+        was = on
+    n = len(y)
+    spare = n - 1 - out["dof"][-1] if out["dof"] else 0
+    variance = out["rss"][-1] / spare if spare > 0 else float("nan")
+    out["cp"] = [rss / variance - n + 2 * (dof + 1) if variance > 0 else float("nan") for rss, dof in zip(out["rss"], out["dof"], strict=True)]
+    return out

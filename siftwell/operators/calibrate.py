@@ -63,20 +63,40 @@ def pick_cell(cells: DataFrame, t_fdr: float) -> DataFrame:
     return best.select(F.coalesce("b.T", F.lit(0)).alias("T"), F.coalesce("b.v", F.lit(1.0)).alias("v"), F.coalesce("b.r", F.lit(0)).alias("r"))
 
 
-def deflate_equi(phi: DataFrame) -> DataFrame:
-    """phi over 2 minus the least difference to another column's; neighbours in sorted order give it."""
-    last = terminal(phi)
-    return _deflated(last, Window.orderBy("phi", "col_id"), last)
+def _over(gap: Column) -> Column:
+    """What a frequency is divided by: 2 less the least difference to a neighbour's, 2 without neighbours."""
+    return F.when(gap.isNull(), 2.0).otherwise(2 - gap)
 
 
-def _deflated(x: DataFrame, w, like: DataFrame) -> DataFrame:
-    near = F.least(F.abs(F.col("phi") - F.lag("phi").over(w)), F.abs(F.col("phi") - F.lead("phi").over(w)))
-    return x.withColumn("near", near).select("col_id", (F.col("phi") / F.when(F.col("near").isNull(), 2.0).otherwise(2 - F.col("near"))).alias("phi"))
+def _nearest(w) -> Column:
+    return F.least(F.abs(F.col("phi") - F.lag("phi").over(w)), F.abs(F.col("phi") - F.lead("phi").over(w)))
+
+
+def deflate_equi(phi: DataFrame) -> DataFrame:
+    """(col_id, phi) deflated among all columns.
+
+    Equal frequencies are one row of a table of at most K + 1 values, so the ordering is of values and not of columns: a
+    value that occurs twice has the gap 0, and the others have that of their neighbours in the order.
+    """
+    last = terminal(phi)
+    values = last.groupBy("phi").agg(F.count("*").alias("n"))
+    gaps = values.select("phi", F.when(F.col("n") > 1, 0.0).otherwise(_nearest(Window.orderBy("phi"))).alias("gap"))
+    return last.join(gaps, "phi").select("col_id", (F.col("phi") / _over(F.col("gap"))).alias("phi"))
 
 
 def deflate_groups(phi: DataFrame, groups: DataFrame) -> DataFrame:
     """The same within groups (col_id, group_id); a column alone in its group is halved."""
-    return _deflated(terminal(phi).join(groups, "col_id"), Window.partitionBy("group_id").orderBy("phi", "col_id"), phi)
+    near = _nearest(Window.partitionBy("group_id").orderBy("phi", "col_id"))
+    return terminal(phi).join(groups, "col_id").withColumn("gap", near).select("col_id", (F.col("phi") / _over(F.col("gap"))).alias("phi"))
+
+
+def deflate_levels(phi: DataFrame, levels: DataFrame) -> DataFrame:
+    """(rho_idx, col_id, t, phi) for every level of levels (rho_idx, col_id, group_id): gaps are those of the terminal
+    frequencies, and divide the frequencies at all t."""
+    last = terminal(phi).withColumnRenamed("phi", "last")
+    near = F.least(*[F.abs(F.col("last") - f("last").over(Window.partitionBy("rho_idx", "group_id").orderBy("last", "col_id"))) for f in (F.lag, F.lead)])
+    over = levels.join(last, "col_id").withColumn("gap", near).select("rho_idx", "col_id", _over(F.col("gap")).alias("over"))
+    return phi.join(over, "col_id").select("rho_idx", "col_id", "t", (F.col("phi") / F.col("over")).alias("phi"))
 
 
 def deflate_ar1(phi: DataFrame, kap: int) -> DataFrame:
@@ -84,8 +104,19 @@ def deflate_ar1(phi: DataFrame, kap: int) -> DataFrame:
     last = terminal(phi)
     other = last.select(F.col("col_id").alias("other"), F.col("phi").alias("q"), F.explode(F.expr(f"array(col_id div {kap} - 1, col_id div {kap}, col_id div {kap} + 1)")).alias("cell"))
     pairs = last.withColumn("cell", F.expr(f"col_id div {kap}")).join(other, "cell").filter(f"other != col_id and abs(other - col_id) <= {kap}")
-    near = pairs.groupBy("col_id").agg(F.min(F.abs(F.col("phi") - F.col("q"))).alias("near"))
-    return last.join(near, "col_id", "left").select("col_id", (F.col("phi") / F.when(F.col("near").isNull(), 2.0).otherwise(2 - F.col("near"))).alias("phi"))
+    near = pairs.groupBy("col_id").agg(F.min(F.abs(F.col("phi") - F.col("q"))).alias("gap"))
+    return last.join(near, "col_id", "left").select("col_id", (F.col("phi") / _over(F.col("gap"))).alias("phi"))
+
+
+def pick_level(cells: DataFrame, t_fdr: float, faithful: bool = False) -> DataFrame:
+    """The winner of cells (rho_idx, T, v_idx, v, fdp_hat, r): most selections within the target; ties to larger v, then
+    larger rho, then T.  `faithful` also admits cells beyond the target that have that number of selections."""
+    ends = cells.agg(F.max("T").alias("hi"), F.min("T").alias("lo")).first()
+    open_ = cells if ends["lo"] == ends["hi"] else cells.filter(F.col("T") < ends["hi"])
+    most = open_.filter(F.col("fdp_hat") <= t_fdr).agg(F.max("r")).first()[0]
+    mine = open_.filter(F.col("r") == most) if most is not None else open_.limit(0)
+    best = (mine if faithful else mine.filter(F.col("fdp_hat") <= t_fdr)).agg(F.max(F.struct("v_idx", "rho_idx", "T", "v", "r")).alias("b"))
+    return best.select(F.coalesce("b.rho_idx", F.lit(-1)).alias("rho_idx"), F.coalesce("b.T", F.lit(0)).alias("T"), F.coalesce("b.v", F.lit(1.0)).alias("v"), F.coalesce("b.r", F.lit(0)).alias("r"))
 
 
 def ar1_reach(rho: float) -> int:
@@ -95,10 +126,11 @@ def ar1_reach(rho: float) -> int:
 
 
 def biobank_choice(estimates: DataFrame, lo: float = 0.05, hi: float = 0.15) -> DataFrame:
-    """(phenotype_id, choice) from ordinary and bootstrap estimates."""
+    """(phenotype_id, choice) from ordinary and bootstrap estimates: the bootstrap where it lies in the bounds and is no
+    less than an ordinary estimate of at most `hi`, else the ordinary one in the bounds, else the full selection."""
     o, b = F.col("fdr_ordinary"), F.col("fdr_bootstrap")
     inside = lambda x: (x >= lo) & (x <= hi)
-    return estimates.select("phenotype_id", F.when(inside(b) & (b >= F.least(o, F.lit(hi))), "bootstrap").when(inside(o), "ordinary").otherwise("full").alias("choice"))
+    return estimates.select("phenotype_id", F.when(inside(b) & ((o > hi) | (b >= o)), "bootstrap").when(inside(o), "ordinary").otherwise("full").alias("choice"))
 
 
 def rates(selected: DataFrame, support: DataFrame) -> DataFrame:

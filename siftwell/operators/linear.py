@@ -11,6 +11,7 @@ zero singular values, whose left vectors are zero.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .matrix import EPS, check, gram
 
-NOISE = ("normal", "student_t", "ar1")
+PREDICTORS = ("normal", "student_t", "ar1", "gumbel")
+NOISE = ("normal", "student_t", "ar1", "normal_mixture", "student_t_mixture")
 
 
 def _dense(g: DataFrame, p: int) -> np.ndarray:
@@ -109,19 +111,30 @@ def restored(scored: DataFrame, c: Components) -> DataFrame:
     return _mapped(scored.select("row_id", F.col("scores").alias("features")), "features", lambda z: z @ loadings.T * scale + mean)
 
 
-def synthetic(spark: SparkSession, n: int, beta: dict[int, float], p: int, snr: float, seed: int, predictors: str = "normal", noise: str = "normal", df: float = 3.0, rho: float = 0.5) -> DataFrame:
+def synthetic(spark: SparkSession, n: int, beta: dict[int, float], p: int, snr: float, seed: int, predictors: str = "normal", noise: str = "normal", df: float = 3.0, rho: float = 0.5, outliers: float = 0.1, spread: float = 5.0) -> DataFrame:
     """(row_id, features, y): random columns, a sparse signal, and noise at a ratio of variances.
 
     Every draw is keyed by seed and row, so a lost task makes the same rows again.  Predictors are normal, student_t,
-    gumbel, or ar1 along the columns; noise is normal or student_t.  The noise has the variance of the signal over snr;
-    the denominator of that variance is n - 1 up to 100 rows and n beyond.
+    gumbel, or ar1 along the columns; noise is normal, student_t, ar1 along the rows, or a mixture in which a share
+    `outliers` of the rows has `spread` times the sd.  The noise has the variance of the signal over snr; the
+    denominator of that variance is n - 1 up to 100 rows and n beyond.
     """
-    if predictors not in (*NOISE, "gumbel") or noise not in NOISE[:2]:
+    if predictors not in PREDICTORS or noise not in NOISE:
         raise ValueError("unknown distribution")
-    if snr <= 0 or n < 1 or any(not 0 <= k < p for k in beta) or (noise == "student_t" and df <= 2):
+    if snr <= 0 or n < 1 or any(not 0 <= k < p for k in beta) or (noise.startswith("student_t") and df <= 2) or not -1 < rho < 1:
         raise ValueError("snr and n must be positive, the support inside the columns, and the noise of finite variance")
     at, coef = np.array(sorted(beta), int), np.array([beta[k] for k in sorted(beta)])
 
+    back = math.ceil(math.log(1e-9) / math.log(abs(rho))) if noise == "ar1" and rho else 0  # what older draws add is below 1e-9
+    fade = rho ** np.arange(back + 1) * math.sqrt(1 - rho * rho)
+    mixed = math.sqrt(1 - outliers + outliers * spread * spread)
+
+    def noise_of(r: np.random.Generator, row: int) -> float:
+        if noise == "ar1":
+            return float(fade @ [np.random.default_rng([seed, 1, row - k + back]).standard_normal() for k in range(back + 1)])
+        e = r.standard_t(df) / np.sqrt(df / (df - 2)) if noise.startswith("student_t") else r.standard_normal()
+        return e * (spread if r.random() < outliers else 1.0) / mixed if noise.endswith("mixture") else e
+
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_pylist()
@@ -133,7 +146,7 @@ def synthetic(spark: SparkSession, n: int, beta: dict[int, float], p: int, snr:
                     for j in range(1, p):
                         x[k, j] = rho * x[k, j - 1] + np.sqrt(1 - rho * rho) * x[k, j]
                 signal[k] = x[k, at] @ coef
-                e[k] = r.standard_t(df) / np.sqrt(df / (df - 2)) if noise == "student_t" else r.standard_normal()
+                e[k] = noise_of(r, row)
             offsets = np.arange(0, x.size + 1, p, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.ravel())), pa.array(signal), pa.array(e)], names=["row_id", "features", "signal", "e"])
 
