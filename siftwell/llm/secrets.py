@@ -32,6 +32,8 @@ KINDS = {
     "endpoint": ("(?:https?|jdbc|postgres|mysql|mongodb|redis|amqp)(?::[a-z0-9]+)?://[^\\x20\\x09-\\x0D\"'<>]+", None),
 }
 BASE = ("assign", "access", "hex")
+#: Code points of a block that redaction cuts text out of.
+BLOCK = 4096
 #: What a part can be to its neighbours.
 ROLE = {"assign": "secret", "hex": "secret", "weak_token": "secret", "access": "ident", "weak_login": "ident", "endpoint": "endpoint"}
 
@@ -40,27 +42,39 @@ def _quoted(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
 
+def _scanned(column: str, add: str) -> str:
+    """SQL: the running `add` (of x and y) over an array column, by doubling steps: n log n, and no array grows."""
+    step = f"transform(acc, (x, i) -> if(i >= d, {add.format(x='x', y='acc[i - d]')}, x))"
+    doubling = f"transform(sequence(0, cast(ceil(log2(size({column}))) as int) - 1), k -> cast(shiftleft(1, k) as int))"
+    return f"if(size({column}) < 2, {column}, aggregate({doubling}, {column}, (acc, d) -> {step}))"
+
+
 def with_parts(docs: DataFrame, p: str = "_s_") -> DataFrame:
     """Add p+parts, array<struct<s, k, e>>: all base spans and weak parts, ordered by start, then kind."""
     a = docs.withColumn(f"{p}t", F.expr("coalesce(text, '')"))
     for n, (kind, (pattern, fit)) in enumerate(KINDS.items()):
         q, group = _quoted(pattern), f"{p}{kind}"
-        a = a.withColumn(f"{p}m", F.expr(f"if({p}t rlike '{q}', regexp_extract_all({p}t, '{q}', 0), cast(array() as array<string>))"))
-        a = a.withColumn(f"{p}g", F.expr(f"if(size({p}m) > 0, transform(split({p}t, '{q}', -1), x -> length(x)), cast(array() as array<int>))"))
-        a = a.withColumn(f"{p}b", F.expr(
-            f"aggregate(transform({p}m, (x, i) -> struct(length(x) as n, {p}g[i] as g)), struct(0 as at, cast(array() as array<int>) as s), "
-            "(acc, y) -> struct(acc.at + y.g + y.n as at, concat(acc.s, array(acc.at + y.g)) as s)).s"
-        ))
+        a = a.withColumn(f"{p}m", F.expr(f"regexp_extract_all({p}t, '{q}', 0)"))
+        # Ends of matches: running sums of what stands before each match and the match.
+        a = a.withColumn(f"{p}b", F.expr(f"if(size({p}m) > 0, zip_with(slice(split({p}t, '{q}', -1), 1, size({p}m)), {p}m, (g, x) -> length(g) + length(x)), cast(array() as array<int>))"))
+        a = a.withColumn(f"{p}b", F.expr(_scanned(f"{p}b", "{x} + {y}")))
         ok = (fit or "true").format(pattern=q)
         a = a.withColumn(group, F.expr(
-            f"transform(filter(transform({p}m, (x, i) -> struct({p}b[i] as s, {n} as k, {p}b[i] + length(x) as e, {ok} as ok)), y -> y.ok), y -> struct(y.s as s, y.k as k, y.e as e))"
-        )).drop(f"{p}m", f"{p}g", f"{p}b")
+            f"transform(filter(zip_with({p}m, {p}b, (x, e) -> struct(e - length(x) as s, {n} as k, e as e, {ok} as ok)), y -> y.ok), y -> struct(y.s as s, y.k as k, y.e as e))"
+        )).drop(f"{p}m", f"{p}b")
     base = ", ".join(f"{p}{k}" for k in BASE)
     weak = ", ".join(f"{p}{k}" for k in KINDS if k not in BASE)
     a = a.withColumn(f"{p}base", F.expr(f"array_sort(concat({base}))")).withColumn(f"{p}weak", F.expr(f"concat({weak})"))
-    # A weak part inside or across a base span is that span's; both lists are short where this is evaluated.
-    a = a.withColumn(f"{p}weak", F.expr(f"filter({p}weak, y -> not exists({p}base, z -> z.s < y.e and y.s < z.e))"))
-    return a.withColumn(f"{p}parts", F.expr(f"array_sort(concat({p}base, {p}weak))")).drop(f"{p}t", f"{p}weak", *[f"{p}{k}" for k in KINDS])
+    # A weak part inside or across a base span is that span's: in the order of base starts and weak ends, the furthest
+    # base end so far tells whether a base span reaches into the weak part.
+    a = a.withColumn(f"{p}events", F.expr(
+        f"if(size({p}weak) > 0, array_sort(concat(transform({p}weak, y -> struct(y.e as at, 0 as base, 0 as reach, y as y)), "
+        f"transform({p}base, z -> struct(z.s as at, 1 as base, z.e as reach, z as y)))), null)"
+    ))
+    a = a.withColumn(f"{p}reach", F.expr(f"if({p}events is null, null, transform({p}events, v -> v.reach))"))
+    a = a.withColumn(f"{p}reach", F.expr(f"if({p}events is null, null, {_scanned(f'{p}reach', 'greatest({x}, {y})')})"))
+    a = a.withColumn(f"{p}weak", F.expr(f"if({p}events is null, {p}weak, transform(filter(zip_with({p}events, {p}reach, (v, r) -> struct(v, r)), u -> u.v.base = 0 and u.r <= u.v.y.s), u -> u.v.y))"))
+    return a.withColumn(f"{p}parts", F.expr(f"array_sort(concat({p}base, {p}weak))")).drop(f"{p}t", f"{p}weak", f"{p}events", f"{p}reach", *[f"{p}{k}" for k in KINDS])
 
 
 def _linked(rows: DataFrame, scope: int, p: str) -> DataFrame:
@@ -115,13 +129,22 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = 200) -> DataFra
     """docs with every span (overlapping ones merged) replaced by mark; n_chars, where there is one, follows."""
     p = "_s_"
     a = with_spans(with_parts(docs), scope, p)
-    # Spans sorted by start: the text is cut at each span that begins beyond all earlier ends.
-    a = a.withColumn(f"{p}cut", F.expr(
-        f"aggregate({p}spans, struct(0 as at, cast(array() as array<string>) as out), (acc, y) -> struct(greatest(acc.at, y.e) as at, "
-        f"if(y.s >= acc.at, concat(acc.out, array(substring(text, acc.at + 1, y.s - acc.at), '{mark}')), acc.out) as out))"
+    # The furthest end so far tells where a span begins beyond all earlier ones; text between such runs is cut out of
+    # blocks, since a place in a long text is found by walking to it.
+    a = a.withColumn(f"{p}reach", F.expr(f"transform({p}spans, y -> y.e)"))
+    a = a.withColumn(f"{p}reach", F.expr(_scanned(f"{p}reach", "greatest({x}, {y})")))
+    a = a.withColumn(f"{p}keep", F.expr(
+        f"transform(filter(zip_with(concat({p}spans, array(struct(length(text) as s, 0 as k, 0 as e))), concat(array(0), {p}reach), (y, r) -> struct(r as a, y.s as e, y.k as k)), "
+        f"v -> v.e >= v.a), v -> struct(v.a as a, v.e as e))"
     ))
-    new = F.expr(f"if(size({p}spans) = 0, text, concat(array_join({p}cut.out, ''), substring(text, {p}cut.at + 1)))")
-    a = a.withColumn("text", new)
+    a = a.withColumn(f"{p}blocks", F.expr(f"if(size({p}spans) > 0, regexp_extract_all(text, '(?s).{{1,{BLOCK}}}', 0), null)"))
+    block = lambda at: f"coalesce(get({p}blocks, cast({at} div {BLOCK} as int)), '')"
+    cut = (
+        f"if(v.a div {BLOCK} = v.e div {BLOCK}, substring({block('v.a')}, v.a % {BLOCK} + 1, v.e - v.a), "
+        f"concat(substring({block('v.a')}, v.a % {BLOCK} + 1), array_join(slice({p}blocks, cast(v.a div {BLOCK} as int) + 2, cast(v.e div {BLOCK} - v.a div {BLOCK} as int) - 1), ''), "
+        f"substring({block('v.e')}, 1, v.e % {BLOCK})))"
+    )
+    a = a.withColumn("text", F.expr(f"if(size({p}spans) = 0, text, array_join(transform({p}keep, v -> {cut}), '{mark}'))"))
     if "n_chars" in docs.columns:
         a = a.withColumn("n_chars", F.expr(f"if(size({p}spans) = 0, n_chars, cast(length(text) as bigint))"))
     return a.select(*docs.columns)

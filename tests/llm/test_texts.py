@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -210,3 +211,64 @@ def test_encoding_of_random_texts(monkeypatch):
 
 def test_best_two_fit_replaces_the_smallest():
     assert packing.best_two_fit({70: 1, 20: 1, 18: 1, 12: 1}, 100) == [([70, 18, 12], 1), ([20], 1)]
+
+
+def plain_parts(text):
+    """All base spans and weak parts, from the patterns one by one."""
+    fits = {"assign": lambda x: len(re.search(secrets.ASSIGN, x)[2]) >= 12, "weak_token": lambda x: all(re.search(c, x) for c in ("[0-9]", "[A-Z]", "[a-z]"))}
+    out = []
+    for k, (kind, (pattern, _)) in enumerate(secrets.KINDS.items()):
+        out += [(m.start(), k, m.end()) for m in re.finditer(pattern, text, re.A) if fits.get(kind, lambda x: True)(m[0])]
+    base = [x for x in out if x[1] < 3]
+    return sorted(base), sorted(x for x in out if x[1] >= 3 and not any(z[0] < x[2] and x[0] < z[2] for z in base))
+
+
+def plain_spans(text, scope):
+    base, weak = plain_parts(text)
+    kinds = list(secrets.KINDS)
+    role = lambda x: secrets.ROLE[kinds[x[1]]]
+    near = lambda x, r: any(role(y) == r and abs(x[0] - y[0]) <= scope and y != x for y in base + weak)
+    rule = {"secret": lambda x: near(x, "ident") or near(x, "endpoint"), "ident": lambda x: near(x, "secret"), "endpoint": lambda x: near(x, "secret") and near(x, "ident")}
+    return sorted(base + [x for x in weak if rule[role(x)](x)])
+
+
+def plain_redacted(text, spans):
+    out, at = [], 0
+    for s, _, e in spans:
+        if s >= at:
+            out += [text[at:s], "[SECRET]"]
+        at = max(at, e)
+    return "".join(out) + text[at:] if spans else text
+
+
+@pytest.fixture(scope="module")
+def parts_texts():
+    r = random.Random(12)
+    token = lambda: "".join(r.choice("abcXYZ0189") for _ in range(r.choice([12, 30])))
+    makers = [lambda: "Zx9" + token(), lambda: f"user={token()[:5]}", lambda: f"https://h.example/{r.randrange(99)}", lambda: f"postgres://u:{'ab12' * 5}@h/x", lambda: "AKIA" + "ABCD1234" * 2,
+              lambda: f"password: {token()}", lambda: "%032x" % r.randrange(1 << 128), lambda: f"client_id={'0123456789abcdef' * 2}", lambda: "é\U0001f600 " * r.randrange(60), lambda: "plain words here " * r.randrange(20)]
+    texts = ["\n ".join(r.choice(makers)() for _ in range(r.randint(0, 40))) for _ in range(150)]
+    return [*texts, " ".join(r.choice(makers)() for _ in range(4000)), "", "AKIA" + "A" * 16]
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_linking_and_redaction_against_brute_force(spark, parts_texts, monkeypatch, block):
+    monkeypatch.setattr(secrets, "BLOCK", block)
+    frame = spark.createDataFrame(list(enumerate(parts_texts)), "doc_id bigint, text string")
+    names = list(secrets.KINDS)
+    want = {i: plain_spans(t, 200) for i, t in enumerate(parts_texts)}
+    assert sum(len(w) for w in want.values()) > 2000 and sum(any(x[1] >= 3 for x in w) for w in want.values()) > 50
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(frame).collect()}
+    assert got == {i: ",".join(f"{names[k]}:{s}:{e}" for s, k, e in w) for i, w in want.items()}
+    clean = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
+    assert clean == {i: plain_redacted(t, want[i]) for i, t in enumerate(parts_texts)}
+
+
+def test_many_secrets_in_one_text(spark):
+    """100,000 matches in one text are a matter of seconds: work doesn't grow with their square."""
+    text = " ".join("deadbeef%012x" % i for i in range(100_000))
+    frame = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    began = time.time()
+    assert secrets.secret_spans(frame).first()["n_hex"] == 100_000
+    assert secrets.redact(frame).first()["text"] == " ".join(["[SECRET]"] * 100_000)
+    assert time.time() - began < 60
