@@ -269,7 +269,7 @@ def repeated_ranges(docs: DataFrame, size: int = 50) -> DataFrame:
     total = own.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = tasks_for(spark, total, 6_000_000)
     sent = own.mapInArrow(_collect(size, buckets), _SENT)
-    found = materialize(sent.groupBy("bucket").applyInArrow(_meet, "doc_id bigint, key bigint, lo bigint, end bigint"))
+    found = materialize(sent.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(_meet, "doc_id bigint, key bigint, lo bigint, end bigint"))
     gone = found.filter("key is null").select("doc_id", "lo", "end")
     open_ = found.filter("key is not null")
     shards = tasks_for(spark, open_.count(), PER_SHARD)

@@ -1,42 +1,45 @@
-"""Suffix arrays by induced sorting, in numpy.
+"""Suffix arrays by induced sorting.
 
 Suffixes are classified as S or L; the leftmost S suffixes (LMS) are sorted by one pass of induction over their
 substrings, named, and, where names repeat, by the suffix array of the names; a second pass induces the whole array.
-Induction is vectorised by character: a bucket's entries are taken in runs, and each run puts its predecessors, in
-order, at the ends of their buckets.  Reduced strings with many different names end the recursion by prefix doubling,
-since buckets of a few entries each don't vectorise.
+Bytes are induced character by character in numpy: a bucket's entries are taken in runs, and each run puts its
+predecessors, in order, at the ends of their buckets.  Names are many and their buckets short, so their strings, at every
+depth of the recursion, are induced entry by entry.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-MOST_NAMES = 1024
-
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Positions of all suffixes of t (integers), in lexicographic order; an end is less than any character."""
+    """Positions of all suffixes of t (bytes), in lexicographic order; an end is less than any character."""
+    if len(t) < 2:
+        return np.arange(len(t))
+    used = np.bincount(t, minlength=256) > 0
+    rank = (np.cumsum(used) - 1).astype(np.uint16)  # sorted by counting
+    return _sorted(rank[t], int(used.sum()), _induced)
+
+
+def _sorted(t: np.ndarray, n_chars: int, induce) -> np.ndarray:
+    """The suffix array of a string of the numbers 0 .. n_chars - 1, all of which occur."""
     n = len(t)
-    if n < 2:
-        return np.arange(n)
-    chars, t = np.unique(t, return_inverse=True)
-    if len(chars) > MOST_NAMES:
-        return _doubled(t)
-    t = t.astype(np.uint16)  # sorted by counting
+    if n_chars == n:  # every suffix begins unlike the others
+        out = np.empty(n, np.int64)
+        out[t] = np.arange(n)
+        return out
     s_type = _s_types(t)
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     if len(lms) > 1:
-        order = _induced(t, s_type, lms, len(chars))
+        order = induce(t, s_type, lms, n_chars)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
-        lms = order[is_lms[order]]
-        names = _names(t, lms)
-        if names[-1] + 1 < len(lms):
-            at = np.empty(n, np.int64)
-            at[lms] = names
-            in_text = np.sort(lms)
-            lms = in_text[suffix_array(at[in_text])]
-    return _induced(t, s_type, lms, len(chars))
+        by_substring = order[is_lms[order]]
+        names = _names(t, by_substring)
+        at = np.empty(n, np.int64)
+        at[by_substring] = names
+        lms = lms[_sorted(at[lms], int(names[-1]) + 1, _induced_by_entry)]
+    return induce(t, s_type, lms, n_chars)
 
 
 def _s_types(t: np.ndarray) -> np.ndarray:
@@ -123,19 +126,36 @@ def _induced(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, n_chars: int) -
     return np.concatenate([x for c in range(n_chars) for x in (large[c], small[c])])
 
 
-def _doubled(t: np.ndarray) -> np.ndarray:
-    n, rank, step = len(t), t.astype(np.int64), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        new = np.append(False, key[order][1:] != key[order][:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if rank[order[-1]] == n - 1 or step >= n:
-            return order
-        step *= 2
+def _induced_by_entry(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, n_chars: int) -> np.ndarray:
+    """The same, one entry of the array at a time."""
+    n = len(t)
+    ends = np.cumsum(np.bincount(t, minlength=n_chars))
+    sa = np.full(n, -1)
+    of = t[lms]
+    order = np.argsort(of, kind="stable")
+    last = np.append(np.flatnonzero(of[order][1:] != of[order][:-1]), len(of) - 1) if len(of) else np.zeros(0, np.int64)
+    behind = np.repeat(last, np.diff(last, prepend=-1)) - np.arange(len(of))  # how many of the bucket come after
+    sa[ends[of[order]] - 1 - behind] = lms[order]
+    array = sa.tolist()
+    # What precedes a suffix: its character where it is of the wanted type; the entry -1 (none yet) has none.
+    before = np.append(np.append(-1, t[:-1].astype(np.int64)), -1)
+    is_s = np.append(np.append(False, s_type[:-1]), False)
+    of_l, of_s = np.where(is_s, -1, before).tolist(), np.where(is_s, before, -1).tolist()
+    head, tail = np.append(0, ends[:-1]).tolist(), ends.tolist()
+    c = int(t[n - 1])
+    array[head[c]] = n - 1  # precedes the end, which is least
+    head[c] += 1
+    for j in array:
+        c = of_l[j]
+        if c >= 0:
+            array[head[c]] = j - 1
+            head[c] += 1
+    for j in reversed(array):
+        c = of_s[j]
+        if c >= 0:
+            tail[c] -= 1
+            array[tail[c]] = j - 1
+    return np.array(array)
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:

@@ -10,10 +10,8 @@ from siftwell.llm import repeats, suffixes
 
 
 @pytest.mark.parametrize("seed", range(60))
-def test_suffix_array(seed, monkeypatch):
+def test_suffix_array(seed):
     r = random.Random(seed)
-    if seed % 2:
-        monkeypatch.setattr(suffixes, "MOST_NAMES", r.choice([3, 8, 10**9]))
     n = r.choice([0, 1, 2, 3, 7, 40, 400])
     t = bytes(r.choice([b"a", b"ab", b"abc", bytes(range(200))][r.randrange(4)]) for _ in range(n))
     if seed % 3 == 0:
@@ -28,6 +26,28 @@ def test_suffix_array(seed, monkeypatch):
         assert plcp[b] == k
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_suffix_array_of_texts(seed):
+    """Long enough for several levels of recursion with many thousands of names."""
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdeé") for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    passages = [" ".join(r.choice(words) for _ in range(40)) for _ in range(30)]
+    t = "\n".join(r.choice([*passages, " ".join(r.choice(words) for _ in range(60))]) for _ in range(150)).encode()
+    sa = suffixes.suffix_array(np.frombuffer(t, np.uint8))
+    assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+
+
+def test_induction_by_entry_is_that_by_character():
+    r = np.random.RandomState(1)
+    for n in (2, 3, 10, 200, 3000):
+        for k in (1, 2, 5, 40):
+            t = np.unique(r.randint(0, k, n), return_inverse=True)[1].astype(np.uint16)
+            s_type = suffixes._s_types(t)
+            lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
+            r.shuffle(lms)
+            assert (suffixes._induced(t, s_type, lms, t.max() + 1) == suffixes._induced_by_entry(t, s_type, lms, t.max() + 1)).all()
+
+
 def plain(rows, size=50):
     first = {}
     rows = [(d, (t or "").encode()) for d, t in rows]
