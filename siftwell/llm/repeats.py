@@ -7,8 +7,10 @@ string has a minimizer: the 16-byte gram of least hash in it, at the same place
    around the anchor can have.  Within a task, an anchor with the context of an earlier document's is decided at once:
    its windows all occur earlier.  One record per anchor and context (the earliest document's) goes on, packed.
 2. Records meet by anchor.  Equal contexts are decided as before; an anchor with a single context is done.
-3. What is left are anchors at which contexts part.  Their contexts meet by anchor in shards; each shard's suffix array
-   (induced sorting) with its permuted common prefixes finds the strings of `size` bytes that contexts share.
+3. What is left are anchors at which contexts part.  A string that two of them share holds the 17 bytes before the gram
+   or the 17 after it, so a context goes on only for a side whose bytes another document has too.  Such contexts meet in
+   shards by gram and side; each shard's suffix array (induced sorting) with its permuted common prefixes finds the
+   strings of `size` bytes that contexts share.
 4. Ranges are merged per document and cut out.
 
 Since contexts are collapsed in every task before they meet, a passage that a third of the documents share is a few
@@ -38,11 +40,12 @@ GRAM, FLUSH, STEP, PER_SHARD = 16, 150_000, 1 << 17, 8_000
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Anchors of consecutive texts: owner, key, context hash, and within the text first byte and end of the context."""
+    """Anchors of consecutive texts: owner, key, context hash, hashes of the bytes before and after the gram (0 where the
+    context has fewer), and within the text the gram's place and the context's end."""
     base = int(offsets[0])
     b = data[base : int(offsets[-1])]
     n, cuts = len(b), (offsets - base).astype(np.int64)
-    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((0, 2), np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
     if n < size:
         return none
     padded = np.zeros(n + 8, np.uint8)
@@ -72,7 +75,12 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * pw[:n], out=total[1:])
     shape = ((at - lo) * 256 + (end - at)).astype(np.uint64)
     ctx = mix64(((total[end] - total[lo]) * inv[lo]) ^ mix64(shape + np.uint64(1)))
-    return owner, g[at], ctx, lo - cuts[owner], end - cuts[owner]
+    half, near = (size - GRAM) // 2, np.zeros((len(at), 2), np.uint32)
+    for side, (a, e) in enumerate(((at - half, at), (at + GRAM, at + GRAM + half))):
+        some = np.flatnonzero((a >= lo) & (e <= end))
+        a, e = a[some], e[some]
+        near[some, side] = (mix64((total[e] - total[a]) * inv[a]) >> np.uint64(32)) | np.uint64(1)
+    return owner, g[at], ctx, near, at - cuts[owner], end - cuts[owner]
 
 
 def _merged(doc: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +117,7 @@ def _numbered(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], np.cumsum(new) - 1
 
 
-_SENT = "bucket int, docs array<bigint>, of binary, key binary, ctx binary, lo binary, width binary"
+_SENT = "bucket int, docs array<bigint>, of binary, key binary, ctx binary, near binary, at binary, width binary"
 
 
 def _collect(size: int, buckets: int):
@@ -121,25 +129,25 @@ def _collect(size: int, buckets: int):
             nonlocal held, n, turn
             if not n:
                 return
-            doc, key, ctx, lo, end = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, key, ctx, near, at, end = (np.concatenate(x) for x in zip(*held, strict=True))
             held, n, turn = [], 0, turn + 1
             late = _late(key, ctx, doc)
             out: list[tuple] = []
             if late.any():
-                d, a, e = _merged(doc[late], lo[late], end[late])
-                out.append((turn % buckets, *_numbered(d), None, None, a, e - a))
-            doc, key, ctx, lo, width = (x[~late] for x in (doc, key, ctx, lo, end - lo))
+                d, a, e = _merged(doc[late], np.maximum(at[late] - (size - GRAM), 0), end[late])
+                out.append((turn % buckets, *_numbered(d), None, None, None, a, e - a))
+            doc, key, ctx, near, at, width = (x[~late] for x in (doc, key, ctx, near, at, end - at))
             bucket = (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint32)
             order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")  # in a bucket, documents stay together
-            doc, key, ctx, lo, width, bucket = (x[order] for x in (doc, key, ctx, lo, width, bucket))
-            at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-            for a, e in zip(at.tolist(), [*at[1:].tolist(), len(doc)], strict=False):
-                out.append((int(bucket[a]), *_numbered(doc[a:e]), key[a:e].astype(np.uint32), ctx[a:e], lo[a:e], width[a:e]))
+            doc, key, ctx, near, at, width, bucket = (x[order] for x in (doc, key, ctx, near, at, width, bucket))
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+            for a, e in zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=False):
+                out.append((int(bucket[a]), *_numbered(doc[a:e]), key[a:e].astype(np.uint32), ctx[a:e], near[a:e], at[a:e], width[a:e]))
             for rows in (out[i : i + 64] for i in range(0, len(out), 64)):
                 packed = lambda c, t: pa.array([None if r[c] is None else r[c].astype(t).tobytes() for r in rows], pa.binary())  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), packed(2, np.uint32), packed(3, np.uint32), packed(4, np.uint64), packed(5, np.uint32), packed(6, np.uint32)],
-                    names=["bucket", "docs", "of", "key", "ctx", "lo", "width"],
+                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), packed(2, np.uint32), packed(3, np.uint32), packed(4, np.uint64), packed(5, np.uint32), packed(6, np.uint32), packed(7, np.uint32)],
+                    names=["bucket", "docs", "of", "key", "ctx", "near", "at", "width"],
                 )
 
         for batch in batches:
@@ -161,53 +169,77 @@ def _collect(size: int, buckets: int):
 _FOUND = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("lo", pa.int64()), ("end", pa.int64())])
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Decide what equal contexts decide; a null key marks a range to remove, another key an open context."""
-    out: list[tuple] = []
-    kept: list[tuple] = []
-    bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
-    is_key = table.column("key").is_valid()
-    rows = table.filter(is_key)
-    keys = [np.frombuffer(x.as_py(), np.uint32) for x in rows.column("key")]
-    shared = np.zeros(sum(map(len, keys)), bool)  # a key with one record decides nothing
-    if len(shared):
-        key = np.concatenate(keys)
-        order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
-        shared[order] = np.append(False, same) | np.append(same, False)
-        del order, same, key
-    at = 0
-    for r in zip(*(rows.column(c) for c in ("docs", "of", "ctx", "lo", "width")), keys, strict=True):
-        pick = np.flatnonzero(shared[at : at + len(r[5])])
-        at += len(r[5])
-        if len(pick):
-            lo = np.frombuffer(r[3].as_py(), np.uint32)[pick].astype(np.int64)
-            doc = np.array(r[0].values, np.int64)[np.frombuffer(r[1].as_py(), np.uint32)[pick]]
-            kept.append((doc, r[5][pick], np.frombuffer(r[2].as_py(), np.uint64)[pick], lo, lo + np.frombuffer(r[4].as_py(), np.uint32)[pick]))
-    del rows, keys, shared
-    for r in zip(*(table.filter(pc.invert(is_key)).column(c) for c in ("docs", "of", "lo", "width")), strict=True):
-        lo = np.frombuffer(r[2].as_py(), np.uint32).astype(np.int64)
-        out.append((np.array(r[0].values, np.int64)[np.frombuffer(r[1].as_py(), np.uint32)], lo, lo + np.frombuffer(r[3].as_py(), np.uint32)))
-    open_ = (np.zeros(0, np.int64),) * 4
-    if kept:
-        doc, key, ctx, lo, end = (np.concatenate(x) for x in zip(*kept, strict=True))
-        order = np.lexsort((doc, ctx, key))
-        doc, key, ctx, lo, end = doc[order], key[order], ctx[order], lo[order], end[order]
-        new_key = np.append(True, key[1:] != key[:-1])
-        new = new_key | np.append(True, ctx[1:] != ctx[:-1])
-        late = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        out.append((doc[late], lo[late], end[late]))
-        nth = np.cumsum(new_key) - 1
-        many = np.bincount(nth, weights=new) > 1
-        heads = np.flatnonzero(new_key)
-        many &= np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)
-        pick = many[nth] & ~late
-        open_ = (doc[pick], (key[pick].astype(np.int64) << 20) ^ bucket, lo[pick], end[pick])
-    doc, lo, end = _merged(*(np.concatenate(x) for x in zip(*out, strict=True))) if out else open_[:3]
-    keys = pa.array(np.append(np.zeros(len(doc), np.int64), open_[1]), mask=np.arange(len(doc) + len(open_[0])) < len(doc))
-    del kept, out
-    give_back()
-    return pa.Table.from_arrays([pa.array(np.append(doc, open_[0])), keys, pa.array(np.append(lo, open_[2])), pa.array(np.append(end, open_[3]))], schema=_FOUND)
+def _near(doc: np.ndarray, key: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Which records share their key and these bytes with a record of another document."""
+    out = np.zeros(len(doc), bool)
+    some = np.flatnonzero(near)
+    order = some[np.lexsort((near[some], key[some]))]
+    if len(order):
+        k, v, d = key[order], near[order], doc[order]
+        new = np.append(True, (k[1:] != k[:-1]) | (v[1:] != v[:-1]))
+        heads = np.flatnonzero(new)
+        out[order] = (np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads))[np.cumsum(new) - 1]
+    return out
+
+
+def _meeting(size: int):
+    span, half = size - GRAM, (size - GRAM) // 2
+
+    def meet(table: pa.Table) -> pa.Table:
+        """Decide what equal contexts decide; a null key marks a range to remove, another key an open context.
+
+        Two contexts with a string of `size` bytes in common around their gram share the `half` bytes before it or those
+        after it.  So an open context goes on for each side that it shares with another document, under a key of the gram and
+        those bytes, and as the part in which the strings that hold them can lie.
+        """
+        out: list[tuple] = []
+        kept: list[tuple] = []
+        is_key = table.column("key").is_valid()
+        rows = table.filter(is_key)
+        keys = [np.frombuffer(x.as_py(), np.uint32) for x in rows.column("key")]
+        shared = np.zeros(sum(map(len, keys)), bool)  # a key with one record decides nothing
+        if len(shared):
+            key = np.concatenate(keys)
+            order = np.argsort(key)
+            same = key[order][1:] == key[order][:-1]
+            shared[order] = np.append(False, same) | np.append(same, False)
+            del order, same, key
+        first = 0
+        for docs, of, ctx, near, at, width, key in zip(*(rows.column(c) for c in ("docs", "of", "ctx", "near", "at", "width")), keys, strict=True):
+            pick = np.flatnonzero(shared[first : first + len(key)])
+            first += len(key)
+            if len(pick):
+                place = np.frombuffer(at.as_py(), np.uint32)[pick].astype(np.int64)
+                doc = np.array(docs.values, np.int64)[np.frombuffer(of.as_py(), np.uint32)[pick]]
+                kept.append((doc, key[pick], np.frombuffer(ctx.as_py(), np.uint64)[pick], np.frombuffer(near.as_py(), np.uint32).reshape(-1, 2)[pick], place, place + np.frombuffer(width.as_py(), np.uint32)[pick]))
+        del rows, keys, shared
+        for docs, of, at, width in zip(*(table.filter(pc.invert(is_key)).column(c) for c in ("docs", "of", "at", "width")), strict=True):
+            lo = np.frombuffer(at.as_py(), np.uint32).astype(np.int64)
+            out.append((np.array(docs.values, np.int64)[np.frombuffer(of.as_py(), np.uint32)], lo, lo + np.frombuffer(width.as_py(), np.uint32)))
+        going: list[tuple] = [(np.zeros(0, np.int64),) * 4]
+        if kept:
+            doc, key, ctx, near, at, end = (np.concatenate(x) for x in zip(*kept, strict=True))
+            del kept
+            order = np.lexsort((doc, ctx, key))
+            doc, key, ctx, near, at, end = doc[order], key[order], ctx[order], near[order], at[order], end[order]
+            new = np.append(True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1]))
+            late = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+            out.append((doc[late], np.maximum(at[late] - span, 0), end[late]))
+            doc, key, near, at, end = (x[~late] for x in (doc, key, near, at, end))
+            for side in range(2):
+                on = _near(doc, key, near[:, side])
+                lo = at[on] - (half if side else span)
+                upto = end[on] if side else np.minimum(end[on], at[on] + size - half)
+                of = mix64((key[on].astype(np.uint64) << np.uint64(32) | near[on, side]) + np.uint64(side)).view(np.int64)
+                going.append((doc[on], of, np.maximum(lo, 0), upto))
+        doc, lo, end = _merged(*(np.concatenate(x) for x in zip(*out, strict=True))) if out else (np.zeros(0, np.int64),) * 3
+        open_ = [np.concatenate(x) for x in zip(*going, strict=True)]
+        keys = pa.array(np.append(np.zeros(len(doc), np.int64), open_[1]), mask=np.arange(len(doc) + len(open_[0])) < len(doc))
+        del out, going
+        give_back()
+        return pa.Table.from_arrays([pa.array(np.append(doc, open_[0])), keys, pa.array(np.append(lo, open_[2])), pa.array(np.append(end, open_[3]))], schema=_FOUND)
+
+    return meet
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +301,7 @@ def repeated_ranges(docs: DataFrame, size: int = 50) -> DataFrame:
     total = own.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = tasks_for(spark, total, 6_000_000)
     sent = own.mapInArrow(_collect(size, buckets), _SENT)
-    found = materialize(sent.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(_meet, "doc_id bigint, key bigint, lo bigint, end bigint"))
+    found = materialize(sent.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(_meeting(size), "doc_id bigint, key bigint, lo bigint, end bigint"))
     gone = found.filter("key is null").select("doc_id", "lo", "end")
     open_ = found.filter("key is not null")
     shards = tasks_for(spark, open_.count(), PER_SHARD)
