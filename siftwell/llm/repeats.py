@@ -137,7 +137,7 @@ def _collect(size: int, buckets: int):
                 d, a, e = _merged(doc[late], np.maximum(at[late] - (size - GRAM), 0), end[late])
                 out.append((turn % buckets, *_numbered(d), None, None, None, a, e - a))
             doc, key, ctx, near, at, width = (x[~late] for x in (doc, key, ctx, near, at, end - at))
-            bucket = (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint32)
+            bucket = (((mix64(key) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint32)  # least hashes aren't evenly spread
             order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")  # in a bucket, documents stay together
             doc, key, ctx, near, at, width, bucket = (x[order] for x in (doc, key, ctx, near, at, width, bucket))
             first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
