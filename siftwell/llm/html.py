@@ -29,8 +29,8 @@ from .common import prepare
 
 FEATURES = 1 << 12
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head script style noscript template title svg math iframe object textarea select option datalist audio video canvas".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+HIDDEN = frozenset("head script style noscript template title svg iframe object textarea select option datalist audio video canvas".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mover mroot mrow ms mspace msqrt msub msubsup msup mtext munder munderover q s samp small span strike strong sub sup time tt u var wbr".split())
 #: A start tag that ends open elements of these kinds, up to the nearest of the barriers.
 P_BLOCKS = "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 CLOSES = {t: ({"p"}, {"table", "td", "th", "button"}) for t in P_BLOCKS} | {
@@ -139,7 +139,7 @@ def features(block: tuple[str, float, tuple]) -> list[int]:
     text, linked, at = block
     names = {"bias", f"words{_level(text.count(' ') + 1, (3, 6, 12, 25, 60))}", f"links{_level(linked, (0.01, 0.35, 0.8))}", f"end{text[-1] in '.!?…。'}"}
     names |= {f"comma{_level(text.count(',') / len(text), (0.002, 0.01))}"}
-    if re.search(r"[©®|»›·]|\(c\)", text[:200]):
+    if re.search(r"[©®|»›·]|\(c\)", text):
         names.add("sign")
     for tag, words in at:
         names.add(f"in:{tag}")

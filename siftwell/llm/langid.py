@@ -2,8 +2,9 @@
 
 Training sums n-gram counts per language in every task and merges them by (language, slice of the buckets), so no task
 gathers a language; the driver receives languages x buckets counts, whose number is checked.  The log-probability matrix
-is broadcast (buckets x languages float32, at most MAX_LANGS languages) and texts are scored in numpy, step by step,
-over their whole length.
+is broadcast (buckets x languages float32, at most MAX_LANGS languages).  Texts are scored in numpy over their whole
+length: a step of texts becomes one sparse matrix (row, bucket, count), whose product with the log-probabilities is
+summed over the rows' segments.
 
 Defined cases: null text, or a text without a letter, is `und` with score 0; rows with null text or null language are
 not learned from; with nothing to learn every text is `und`; repeated rows count each time; an empty table gives an
@@ -24,7 +25,7 @@ from .common import prepare
 
 BUCKETS, ORDERS, SLICES, MAX_LANGS = 1 << 14, (1, 2, 3), 32, 4096
 _M = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
-STEP_CHARS = 1 << 18
+STEP_CHARS, STEP_ROWS = 1 << 18, 64
 
 _letters: list[np.ndarray] = []
 
@@ -65,6 +66,40 @@ def _counts(text: str) -> np.ndarray:
     return total
 
 
+def _sparse(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of several texts as a sparse matrix: the rows' first entries (and the total), buckets, counts."""
+    parts = [_codes(t) for t in texts]
+    c = np.concatenate(parts)
+    row = np.repeat(np.arange(len(texts)), [len(x) for x in parts])
+    total = np.zeros(len(texts) * BUCKETS, np.int32)
+    for n, h in zip(ORDERS, _grams(c), strict=False):
+        inside = row[: len(h)] == row[n - 1 : n - 1 + len(h)]  # no n-gram runs from one text into the next
+        total += np.bincount(row[: len(h)][inside] * BUCKETS + h[inside], minlength=len(total)).astype(np.int32)
+    at = np.flatnonzero(total)
+    return np.searchsorted(at, np.arange(len(texts) + 1) * BUCKETS), at % BUCKETS, total[at]
+
+
+def _joint(first: np.ndarray, bucket: np.ndarray, count: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Log joint probabilities [rows, languages] of a sparse matrix without empty rows, some languages at a time."""
+    out = np.empty((len(first) - 1, table.shape[1]))
+    for c in range(0, table.shape[1], 32):
+        out[:, c : c + 32] = np.add.reduceat(count[:, None] * table[bucket, c : c + 32].astype(np.float64), first[:-1])
+    return out + table[-1]
+
+
+def _step_of(texts: list[str]) -> Iterator[list[int]]:
+    """Places of texts that are scored together; a text longer than STEP_CHARS is alone."""
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        if held and (size + len(t) > STEP_CHARS or len(held) >= STEP_ROWS):
+            yield held
+            held, size = [], 0
+        held.append(i)
+        size += len(t)
+    if held:
+        yield held
+
+
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
@@ -109,17 +144,22 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *also: Column)
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            names, scores = [], []
-            for x in batch.column(batch.num_columns - 1):
-                text = x.as_py()
-                best, p = "und", 0.0
-                if text and langs and (n := _counts(text))[: BUCKETS].any() and _has_letter(text):
-                    used = np.flatnonzero(n)
-                    s = n[used].astype(np.float64) @ table[used].astype(np.float64) + table[-1]
-                    w = np.exp(s - s.max())
-                    best, p = langs[int(s.argmax())], float(w.max() / w.sum())
-                names.append(best)
-                scores.append(p)
+            texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
+            names, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
+            some = [i for i, t in enumerate(texts) if langs and _has_letter(t)]
+            for step in _step_of([texts[i] for i in some]):
+                rows = [some[i] for i in step]
+                if len(rows) == 1:
+                    n = _counts(texts[rows[0]])
+                    bucket = np.flatnonzero(n)
+                    first, count = np.array([0, len(bucket)]), n[bucket]
+                else:
+                    first, bucket, count = _sparse([texts[i] for i in rows])
+                joint = _joint(first, bucket, count, table)
+                best = joint.argmax(1)
+                weight = np.exp(joint - joint.max(1, keepdims=True))
+                names[rows] = [langs[k] for k in best]
+                scores[rows] = weight.max(1) / weight.sum(1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return frame.mapInArrow(score, schema)

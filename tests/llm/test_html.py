@@ -16,6 +16,7 @@ def test_blocks():
     page = "<p>&lt;c&gt; d<script>x</p></script><table><tr><td>l<td>m</table>&eacute;&#233;<div>n</div><select><option>no</select><!-- no --><textarea>no</textarea>p"
     assert [b[0] for b in html.leaf_blocks(page)] == ["<c> d", "l", "m", "éé", "n", "p"]
     assert [b[0] for b in html.leaf_blocks("<p>a&amp;b\n <p>e<br>f <b>g</b>h<ul><li>i<li>j</ul>k")] == ["a&b", "e f gh", "i", "j", "k"]
+    assert [b[0] for b in html.leaf_blocks("<p>as <math><mi>x</mi><mo>=</mo><mn>2</mn></math> says</p>")] == ["as x=2 says"]
     assert html.leaf_blocks(None) == [] == html.leaf_blocks("") == html.leaf_blocks("<script>x")
 
 
@@ -31,6 +32,30 @@ def test_training_and_viterbi_against_enumeration():
     assert np.isclose(pairs[0, 1], sum(p * sum((a, b) == (0, 1) for a, b in zip(y, y[1:])) for y, p in ways.items()) / total)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_viterbi_against_enumeration(seed):
+    r = np.random.RandomState(seed)
+    word = lambda: "".join(r.choice(list("abc.,|"), r.randint(1, 7)))
+    blocks = [(" ".join(word() for _ in range(r.randint(1, 30))), float(r.rand()), (("div", (word(),)),)) for _ in range(r.randint(1, 9))]
+    w, trans, first = r.randn(html.FEATURES, 2), 2 * r.randn(2, 2), r.randn(2)
+    scores = [w[html.features(b)].sum(0) for b in blocks]
+    value = lambda y: first[y[0]] + sum(s[k] for s, k in zip(scores, y)) + sum(trans[a, b] for a, b in zip(y, y[1:]))
+    best = max(itertools.product(range(2), repeat=len(blocks)), key=value)
+    assert html.decode(blocks, (w, trans, first)) == [bool(k) for k in best]
+
+
+def test_extract_is_enumeration_over_blocks(spark, model):
+    pages = [(i, "u", p) for i, (p, _) in enumerate(html.sample_pages(60, seed=5)) if 0 < len(html.leaf_blocks(p)) <= 13]
+    assert len(pages) > 5
+    w, trans, first = model
+    for r in html.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string"), model).collect():
+        blocks = html.leaf_blocks(dict((i, p) for i, _, p in pages)[r.page_id])
+        scores = [w[html.features(b)].sum(0) for b in blocks]
+        value = lambda y: first[y[0]] + sum(s[k] for s, k in zip(scores, y)) + sum(trans[a, b] for a, b in zip(y, y[1:]))  # noqa: E731, B023
+        best = max(itertools.product(range(2), repeat=len(blocks)), key=value)
+        assert r.text == "\n\n".join(b[0] for b, k in zip(blocks, best, strict=True) if k)
+
+
 def test_held_out_pages(model):
     right = blocks = 0
     for page, main in html.sample_pages(150, seed=99):

@@ -1,6 +1,7 @@
 """Language ID, quality rules, secret scans and packing against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -142,6 +143,43 @@ def test_language_id(spark, docs, odd_docs):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def plain_grams(text):
+    """Bucket numbers of all n-grams, one at a time."""
+    t = " " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower())).strip(" ") + " "
+    mask, by = (1 << 32) - 1, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+    for n in (1, 2, 3):
+        for i in range(len(t) - n + 1):
+            h = n
+            for j in range(n):
+                h = ((h ^ ord(t[i + j])) * by[j]) & mask
+                h ^= h >> 15
+            yield ((h * by[0]) & mask) >> 18
+
+
+@pytest.mark.parametrize("rows", [1, 3, 64])
+def test_language_id_against_a_plain_naive_bayes(spark, docs, odd_docs, monkeypatch, rows):
+    monkeypatch.setattr(langid, "STEP_ROWS", rows)
+    few = docs.limit(60).select("doc_id", "text", "lang").unionByName(odd_docs.filter("length(text) < 1000 or text is null").select("doc_id", "text", "lang"))
+    given = few.collect()
+    learned = [r for r in given if r.text is not None and r.lang is not None]
+    counts = {g: Counter() for g in {r.lang for r in learned}}
+    for r in learned:
+        counts[r.lang].update(plain_grams(r.text))
+    prior = Counter(r.lang for r in learned)
+    logp = {g: {b: math.log(c[b] + 0.5) - math.log(c.total() + 0.5 * 16384) for b in range(16384)} for g, c in counts.items()}
+    want = Counter()
+    for r in given:
+        best, score = "und", 0.0
+        if any(c.isalpha() for c in r.text or ""):
+            n = Counter(plain_grams(r.text))
+            joint = {g: math.log(prior[g] / len(learned)) + sum(k * logp[g][b] for b, k in n.items()) for g in counts}
+            best = max(sorted(joint), key=joint.get)
+            score = 1 / sum(math.exp(v - joint[best]) for v in joint.values())
+        want[r.doc_id, best, round(score, 3)] += 1
+    got = langid.predict(few, langid.train(few), F.col("doc_id")).collect()
+    assert Counter((r.doc_id, r.lang_pred, round(r.score, 3)) for r in got) == want
+
+
 def test_language_counts_in_steps(monkeypatch):
     text = "Ünïcode words, and more words " * 50
     whole = langid._counts(text)
