@@ -25,7 +25,7 @@ from .common import prepare
 
 BUCKETS, ORDERS, SLICES, MAX_LANGS = 1 << 14, (1, 2, 3), 32, 4096
 _M = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
-STEP_CHARS, STEP_ROWS = 1 << 18, 64
+STEP_CHARS, STEP_ROWS = 1 << 18, 8
 
 _letters: list[np.ndarray] = []
 
@@ -71,10 +71,12 @@ def _sparse(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = [_codes(t) for t in texts]
     c = np.concatenate(parts)
     row = np.repeat(np.arange(len(texts)), [len(x) for x in parts])
-    total = np.zeros(len(texts) * BUCKETS, np.int32)
+    own = row * BUCKETS
+    cells = []
     for n, h in zip(ORDERS, _grams(c), strict=False):
         inside = row[: len(h)] == row[n - 1 : n - 1 + len(h)]  # no n-gram runs from one text into the next
-        total += np.bincount(row[: len(h)][inside] * BUCKETS + h[inside], minlength=len(total)).astype(np.int32)
+        cells.append((own[: len(h)] + h)[inside])
+    total = np.bincount(np.concatenate(cells), minlength=len(texts) * BUCKETS)
     at = np.flatnonzero(total)
     return np.searchsorted(at, np.arange(len(texts) + 1) * BUCKETS), at % BUCKETS, total[at]
 
