@@ -7,11 +7,13 @@ probability below 1e-6.  Links are confirmed by exact Jaccard similarity of the
 
 Documents with equal sets are one node.  Within a bucket not all pairs are made: the member that meets most others is
 compared with the rest, verified links are merged to components, and only members of different components go on, under
-the next such member.  After LEADERS rounds, what is left of small buckets is compared pairwise across components, and
-larger ones are compared in tiles of 2 x TILE members: a task holds a tile's sets, compares only pairs that are in no
-earlier common bucket and not connected yet, and emits the links that connect something, so pairs are never rows.  No
-pair that shares a bucket is left undecided except inside one component.  Components come from min-label propagation with pointer
-jumping, in tables in the shared folder.
+the next such member.  After LEADERS rounds, what is left of small buckets is compared pairwise across components.  The
+members left in larger buckets meet again by shingle: two sets of the wanted similarity share a shingle among the
+100 - percent in a hundred of each that are rarest (in one order for all, by a counting sketch of those members, then by
+hash), so passages that many texts share bring no one together.  Pairs that share such a shingle are verified; a shingle
+that is among the rarest of more than PAIRS members is compared in tiles of 2 x TILE members, where a task holds a tile's
+sets and emits the links that connect something.  So no pair that shares a bucket is left undecided except inside one
+component.  Components come from min-label propagation with pointer jumping, in tables in the shared folder.
 
 Defined cases: null, empty or wordless texts have no shingles and link with nothing; 1 to k-1 words are one shingle;
 repeated rows link to each other; a null doc_id links with nothing and its component is null; an empty table gives an
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import distinct_by_text, give_back, materialize, mix64, prepare, shingle_hashes, steps, utf8, word_hashes
 
-ROWS, MISS, LEADERS, SMALL, TILE = 5, 1e-6, 2, 8, 1000
+ROWS, MISS, LEADERS, SMALL, PAIRS, TILE = 5, 1e-6, 2, 8, 64, 1000
+SKETCH_BITS, SLICES = 18, 64
 
 
 def bands_for(percent: int) -> int:
@@ -97,12 +100,7 @@ def _sign(k: int, bands: int):
 def _verify(k: int, percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets(column: pa.Array) -> list[np.ndarray]:
-            data, offsets, out = *utf8(column), []
-            for lo, hi in steps(offsets):
-                w, _, _, at = word_hashes(data, offsets[lo : hi + 1])
-                h, first = distinct_by_text(*shingle_hashes(w, at, k))
-                out += [h[first[i] : first[i + 1]] for i in range(hi - lo)]
-            return out
+            return [h[first[i] : first[i + 1]] for lo, hi, h, first in _sets(column, k) for i in range(hi - lo)]
 
         for batch in batches:
             ok = []
@@ -114,19 +112,64 @@ def _verify(k: int, percent: int):
     return verify
 
 
+def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Steps of texts: first and end row, sorted shingle hashes text by text, each text's first and the total."""
+    data, offsets = utf8(column)
+    for lo, hi in steps(offsets):
+        w, _, _, at = word_hashes(data, offsets[lo : hi + 1])
+        yield lo, hi, *distinct_by_text(*shingle_hashes(w, at, k))
+
+
+def _sketch(k: int):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's counts of shingles by their leading bits, in slices."""
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            for _, _, h, _ in _sets(batch.column(0), k):
+                total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(list(total.reshape(SLICES, -1)), pa.list_(pa.int64()))], names=["slice", "counts"])
+
+    return sketch
+
+
+def _rarest(k: int, percent: int, counts):
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, rep, n, comp) for the rarest shingles of each set: as many as similar sets can't all lack."""
+        often = counts.value
+        for batch in batches:
+            for lo, hi, h, first in _sets(batch.column(3), k):
+                n = np.diff(first)
+                owner = np.repeat(np.arange(hi - lo), n)
+                order = np.lexsort((h, often[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], owner))
+                place = np.arange(len(h)) - np.repeat(first[:-1], n)
+                keep = place < np.repeat(n - -(-percent * n // 100) + 1, n)
+                at = pa.array(lo + owner[keep])
+                own = [batch.column(c).take(at) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(h[order][keep].view(np.int64)), *own], names=["key", "rep", "n", "comp"])
+
+    return rarest
+
+
+def _met_by_shingle(left: DataFrame, k: int, percent: int) -> DataFrame:
+    """(key, rep, n, comp, m): members of different components that share one of their rarest shingles, m of them."""
+    parts = left.select("text").mapInArrow(_sketch(k), "slice int, counts array<bigint>").select("slice", F.posexplode("counts").alias("at", "n"))
+    table = parts.groupBy("slice", "at").agg(F.sum("n").alias("n")).filter("n > 0").toArrow()  # at most 2^SKETCH_BITS rows
+    often = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
+    often[np.array(table.column("slice")), np.array(table.column("at"))] = np.array(table.column("n"))
+    counts = left.sparkSession.sparkContext.broadcast(often.ravel())
+    keys = materialize(left.select("rep", "n", "comp", "text").mapInArrow(_rarest(k, percent, counts), "key bigint, rep bigint, n bigint, comp bigint"))
+    met = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key", "m")
+    return materialize(keys.join(met, "key"))
+
+
 def _tile(k: int, percent: int):
     def tile(table: pa.Table) -> pa.Table:
         """Links that connect components among a tile's members."""
         table = table.sort_by("rep").combine_chunks()
         rep, n, block = (np.array(table.column(c), np.int64) for c in ("rep", "n", "block"))
         _, root = np.unique(np.array(table.column("comp"), np.int64), return_inverse=True)
-        bands = np.array(table.column("bands").combine_chunks().flatten(), np.int64).reshape(len(rep), -1)
-        band = int(np.flatnonzero(bands[0] == table.column("key")[0].as_py())[0])
-        earlier, sets = bands[:, :band], []
-        data, offsets = utf8(table.column("text"))
-        for lo, hi in steps(offsets):
-            w, _, _, at = word_hashes(data, offsets[lo : hi + 1])
-            h, first = distinct_by_text(*shingle_hashes(w, at, k))
+        sets = []
+        for lo, hi, h, first in _sets(table.column("text"), k):
             sets += [h[first[i] : first[i + 1]] for i in range(hi - lo)]
         values, ids = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.cumsum(n) - n
@@ -138,8 +181,6 @@ def _tile(k: int, percent: int):
             todo[: x + 1] = False
             if across:
                 todo &= block != block[x]
-            if todo.any():
-                todo &= ~(earlier == earlier[x]).any(1)
             if not todo.any():
                 continue
             own = ids[starts[x] : starts[x] + n[x]]
@@ -198,10 +239,14 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
         if going.isEmpty():
             break
         if turn == LEADERS:
-            small = going.filter(F.col("m") <= SMALL)
-            x, y = small.alias("x"), small.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & fits(F.col("x.n"), F.col("y.n")))
-            pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+            left = materialize(going.filter(F.col("m") > SMALL).select("rep", "n", "comp").distinct().join(texts, "rep"))
+            meets = [going.filter(F.col("m") <= SMALL)] + ([] if left.isEmpty() else [hot := _met_by_shingle(left, k, percent)])
+            across = [x.filter(F.col("m") <= PAIRS).select("key", "rep", "n", "comp") for x in meets]
+            pairs = None
+            for x, y in ((c.alias("x"), c.alias("y")) for c in across):
+                one = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & fits(F.col("x.n"), F.col("y.n")))
+                one = one.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+                pairs = one if pairs is None else pairs.union(one)
         else:
             pairs = going.filter((F.col("rep") != F.col("lead.rep")) & (F.col("comp") != F.col("lead.comp")) & fits(F.col("n"), F.col("lead.n")))
             pairs = pairs.select(F.least("lead.rep", "rep").alias("a"), F.greatest("lead.rep", "rep").alias("b"))
@@ -214,10 +259,10 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
         decided = judged.select("a", "b") if decided is None else decided.union(judged.select("a", "b"))
         new = judged.filter("ok").select("a", "b")
         if turn == LEADERS:
-            large = going.filter(F.col("m") > SMALL).withColumn("blocks", F.ceil(F.col("m") / TILE)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-            large = large.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("key", "rep", "n", "comp", "block", F.least("block", "other").alias("t0"), F.greatest("block", "other").alias("t1"))
-            full = large.join(nodes.select("rep", "bands"), "rep").join(texts, "rep")
-            new = new.union(full.groupBy("key", "t0", "t1").applyInArrow(_tile(k, percent), "a bigint, b bigint"))
+            if len(meets) > 1:
+                large = hot.filter(F.col("m") > PAIRS).withColumn("blocks", F.ceil(F.col("m") / TILE)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+                large = large.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("key", "rep", "n", "comp", "block", F.least("block", "other").alias("t0"), F.greatest("block", "other").alias("t1"))
+                new = new.union(large.join(texts, "rep").groupBy("key", "t0", "t1").applyInArrow(_tile(k, percent), "a bigint, b bigint"))
         new = materialize(new)
         links = new if links is None else links.union(new)
         if not new.isEmpty():

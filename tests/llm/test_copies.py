@@ -69,14 +69,25 @@ def test_near_duplicates(docs, odd_docs, copies, k, percent):
     assert neardup.near_duplicates(docs.limit(0), k, percent).count() == 0
 
 
-@pytest.mark.parametrize(("leaders", "small", "size"), [(0, 10**6, 1000), (0, 1, 1000), (0, 2, 10), (1, 4, 10)])
-def test_rest_of_buckets(monkeypatch, copies, leaders, small, size):
+@pytest.mark.parametrize(("leaders", "small", "size", "pairs"), [(0, 10**6, 1000, 64), (0, 1, 1000, 64), (0, 2, 10, 3), (1, 4, 10, 1)])
+def test_rest_of_buckets(monkeypatch, copies, leaders, small, size, pairs):
+    monkeypatch.setattr(neardup, "PAIRS", pairs)
     monkeypatch.setattr(neardup, "LEADERS", leaders)
     monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "TILE", size)
     assert got_components(copies, 3, 85) == plain_components([(r.doc_id, r.text) for r in copies.collect()], 3, 85)
 
 
+def test_a_shared_passage_brings_no_one_together(spark):
+    """A thousand texts with two thirds in common, below the threshold: no pairs, but for the one that is similar."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    passage, own = " ".join(word() for _ in range(80)), [" ".join(word() for _ in range(40)) for _ in range(1000)]
+    rows = [(i, len({*zip(*[t.split()[j:] for j in range(3)])}), i, t) for i, t in enumerate(f"{passage} {x}" for x in [*own, own[0] + " more"])]
+    met = neardup._met_by_shingle(spark.createDataFrame(rows, "rep bigint, n bigint, comp bigint, text string"), 3, 85).collect()
+    assert {x.rep for x in met} == {0, 1000} and len(met) < 50
+
+
 def test_drop_near_duplicates(copies, odd_docs):
     kept = neardup.drop_near_duplicates(copies, 3, 85).collect()
     want = {c for _, n, c in plain_components([(r.doc_id, r.text) for r in copies.collect()], 3, 85) if n}
