@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 1 << 18
@@ -61,6 +62,23 @@ def _clean() -> None:
             return
 
 
+def fresh(df: DataFrame, prefix: str) -> str:
+    """prefix, lengthened until no column of df begins with it (whatever the case): for columns of an operator's own."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
+#: Rows (of a few numbers) that are broadcast at most: some 50 MB as a hash table.
+MAX_BROADCAST_ROWS = 400_000
+
+
+def joinable(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder, as a side of a join: broadcast up to MAX_BROADCAST_ROWS, shuffled beyond."""
+    kept = materialize(df)
+    return F.broadcast(kept) if kept.count() <= MAX_BROADCAST_ROWS else kept
+
+
 _shipped: set[str] = set()
 
 

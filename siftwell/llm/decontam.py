@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, shingle_hashes, steps, utf8, word_hashes
+from .common import fresh, joinable, prepare, shingle_hashes, steps, utf8, word_hashes
 
 HASHES, BLOCK_BYTES, LEAST_CLASS = 64, 4 << 20, 4
 _r = np.random.RandomState(7)
@@ -155,7 +155,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
 
 def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents that contain no item; documents with a null doc_id are judged by their own text, as a group of one."""
-    key = "__row"
+    key = fresh(docs, "_row")
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")), F.length("text")))
     hits = contained_items(keyed.select(F.col(key).alias("doc_id"), "text"), items, k, percent).select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(hits, key, "left_anti").select(*docs.columns)
+    return keyed.join(joinable(hits), key, "left_anti").select(*docs.columns)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_by_text, give_back, materialize, mix64, prepare, shingle_hashes, steps, utf8, word_hashes
+from .common import distinct_by_text, fresh, give_back, materialize, mix64, prepare, shingle_hashes, steps, utf8, word_hashes
 
 ROWS, MISS, LEADERS, SMALL, PAIRS, TILE = 5, 1e-6, 2, 8, 64, 1000
 SKETCH_BITS, SLICES = 18, 64
@@ -284,7 +284,8 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
 
     Rows are told apart by doc_id and text, so a doc_id that stands on several texts loses only those with a copy.
     """
-    gone = _grouped(docs, k, percent).filter("least.doc_id != doc_id or least.t != t").select("doc_id", F.col("t").alias("__t")).distinct()
-    named = docs.filter("doc_id is not null").withColumn("__t", F.xxhash64("text"))
-    identified = named.join(gone, ["doc_id", "__t"], "left_anti").dropDuplicates(["doc_id", "__t", "text"])
+    t = fresh(docs, "_t")
+    gone = _grouped(docs, k, percent).filter("least.doc_id != doc_id or least.t != t").select("doc_id", F.col("t").alias(t)).distinct()
+    named = docs.filter("doc_id is not null").withColumn(t, F.xxhash64("text"))
+    identified = named.join(gone, ["doc_id", t], "left_anti").dropDuplicates(["doc_id", t, "text"])
     return identified.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

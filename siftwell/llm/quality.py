@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 #: rate -> (slack per thousand, short-text allowance, column whose size the allowance shrinks with, lower fence too)
 RATES = {"wl": (0, 8000, "n_words", True), "sy": (100, 1000, "n_words", False), "dl": (300, 1000, "n_lines", False)}
@@ -117,8 +117,8 @@ def thresholds(rated: DataFrame, min_docs: int = 200, p: str = "_q_", weight: in
     cut = lambda r, what: F.max(F.when(F.col("rate") == r, F.expr(what)))
     return text.groupBy("lang", "source").agg(*[
         x for r, (slack, *_ ) in RATES.items()
-        for x in (cut(r, f"q75 + 3 * (q75 - q25) + {slack}").alias(f"_hi_{r}"), cut(r, f"q25 - 3 * (q75 - q25) - {slack}").alias(f"_lo_{r}"))
-    ]).withColumnsRenamed({"lang": "_g_lang", "source": "_g_source"})
+        for x in (cut(r, f"q75 + 3 * (q75 - q25) + {slack}").alias(f"{p}hi_{r}"), cut(r, f"q25 - 3 * (q75 - q25) - {slack}").alias(f"{p}lo_{r}"))
+    ]).withColumnsRenamed({"lang": f"{p}lang", "source": f"{p}source"})
 
 
 def _verdict(rated: DataFrame, min_docs: int, p: str, weight: int | None = None) -> DataFrame:
@@ -126,10 +126,10 @@ def _verdict(rated: DataFrame, min_docs: int, p: str, weight: int | None = None)
     cuts = thresholds(rated, min_docs, p, weight)
     fine = []
     for r, (_, room, of, below) in RATES.items():
-        over = f"({p}{r} > _hi_{r} and ({p}{r} - _hi_{r}) * ({p}{r} - _hi_{r}) * {p}{of} > {room * room}L)"
-        under = f" or ({p}{r} < _lo_{r} and ({p}{r} - _lo_{r}) * ({p}{r} - _lo_{r}) * {p}{of} > {room * room}L)" if below else ""
+        over = f"({p}{r} > {p}hi_{r} and ({p}{r} - {p}hi_{r}) * ({p}{r} - {p}hi_{r}) * {p}{of} > {room * room}L)"
+        under = f" or ({p}{r} < {p}lo_{r} and ({p}{r} - {p}lo_{r}) * ({p}{r} - {p}lo_{r}) * {p}{of} > {room * room}L)" if below else ""
         fine.append(f"not ({over}{under})")
-    out = rated.join(cuts, rated["lang"].eqNullSafe(cuts["_g_lang"]) & rated["source"].eqNullSafe(cuts["_g_source"]), "left")
+    out = rated.join(cuts, rated["lang"].eqNullSafe(cuts[f"{p}lang"]) & rated["source"].eqNullSafe(cuts[f"{p}source"]), "left")
     return out.withColumn(f"{p}kept", F.expr(f"not {p}base_failed and coalesce({' and '.join(fine)}, false)"))
 
 
@@ -142,5 +142,6 @@ def quality_metrics(docs: DataFrame, min_docs: int = 200, weight: int | None = N
 
 def quality_filter(docs: DataFrame, min_docs: int = 200, weight: int | None = None) -> DataFrame:
     """The documents that the rules keep, with the columns of docs."""
-    rated = materialize(with_rates(with_counts(docs)))
-    return _verdict(rated, min_docs, "_q_", weight).filter("_q_kept").select(*docs.columns)
+    p = fresh(docs, "_q_")
+    rated = materialize(with_rates(with_counts(docs, p), p))
+    return _verdict(rated, min_docs, p, weight).filter(f"{p}kept").select(*docs.columns)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 ASSIGN = (
     "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -127,8 +127,8 @@ def secret_spans(docs: DataFrame, scope: int = 200) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = 200) -> DataFrame:
     """docs with every span (overlapping ones merged) replaced by mark; n_chars, where there is one, follows."""
-    p = "_s_"
-    a = with_spans(with_parts(docs), scope, p)
+    p = fresh(docs, "_s_")
+    a = with_spans(with_parts(docs, p), scope, p)
     # The furthest end so far tells where a span begins beyond all earlier ones; text between such runs is cut out of
     # blocks, since a place in a long text is found by walking to it.
     a = a.withColumn(f"{p}reach", F.expr(f"transform({p}spans, y -> y.e)"))

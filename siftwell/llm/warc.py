@@ -1,14 +1,14 @@
 """Web archives: writing WARC files, reading them back, and merging their indexes into capture histories.
 
-Writing: records are packed into chunks of at most CHUNK_BYTES (a larger record is its own), each of which Spark's text
+Writing: records are packed into chunks that end with the record that passes CHUNK_BYTES, each of which Spark's text
 writer puts into a gzip file of the shared folder (offsets count uncompressed bytes), so files are whole on any Hadoop file system and a lost task is written
 again.  Of equal payloads of at least `least` bytes the capture with the largest id is a response and the others are
-revisits that refer to it; the join that tells them apart carries ids only and is by digest, and where a digest is very
-common Spark's skew handling splits it.
+revisits that refer to it: repeated digests with their largest id are one aggregate, which meets the pages by broadcast
+up to a checked number of rows, so payloads stay where they are read, and by a shuffle of them beyond.
 
 Reading: each file is parsed by its Content-Length headers and yields a run of index entries, sorted by (URL key,
 timestamp, id).  Runs are dealt out by ranges of that whole key, so the captures of one URL can span tasks, and each
-task merges its pieces of k runs with a loser tree.  The result is ordered by URL key and timestamp within and across
+task merges its pieces of k runs, some PER_SHARD entries in all, with a loser tree.  The result is ordered by URL key and timestamp within and across
 partitions; `shard` numbers the partitions.
 
 Defined cases: null html is an empty payload, null url an empty URL; repeated rows are records each (those with the
@@ -21,6 +21,7 @@ import base64
 import datetime as dt
 import gzip
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -30,9 +31,9 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_dir, tasks_for
+from .common import joinable, prepare, shared_dir, tasks_for
 
-CHUNK_BYTES, END = 16 << 20, "\r\n\r\n"
+CHUNK_BYTES, PER_SHARD, END = 16 << 20, 200_000, "\r\n\r\n"
 EPOCH = dt.datetime(2024, 1, 1)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -52,7 +53,7 @@ def classified(pages: DataFrame, least: int = 1000) -> DataFrame:
     own = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     own = own.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html").cast("bigint")})
     groups = own.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    out = own.join(groups, ["digest", "size"], "left")
+    out = own.join(joinable(groups), ["digest", "size"], "left")
     return out.select("page_id", "url", "html", "digest", "size", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
 
@@ -83,7 +84,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000) -> None:
             ids = [None if pd.isna(x) else int(x) for x in f["page_id"]]
             for page_id, url, html, digest, n, ref in zip(ids, f["url"], f["html"], f["digest"], f["size"], f["refers_to"], strict=True):
                 held.append(_record(page_id, url, html, digest, int(n), ref))
-                size += len(held[-1])
+                size += len(held[-1].encode())
                 if size >= CHUNK_BYTES:
                     yield pd.DataFrame({"value": [END.join(held)]})
                     held, size = [], 0
@@ -187,7 +188,7 @@ def merged_runs(runs: list[list], key=lambda x: x) -> Iterator:
             node //= 2
 
 
-def merge_indexes(entries: DataFrame, per_shard: int = 200_000) -> DataFrame:
+def merge_indexes(entries: DataFrame, per_shard: int = PER_SHARD) -> DataFrame:
     """entries in the order of URL key and timestamp, with `shard`; each task merges the sorted pieces it receives."""
     prepare(spark := entries.sparkSession)
 
@@ -200,9 +201,9 @@ def merge_indexes(entries: DataFrame, per_shard: int = 200_000) -> DataFrame:
                 if not runs or _key(x) < _key(runs[-1][-1]):
                     runs.append([])  # a piece ends where the order breaks
                 runs[-1].append(x)
-        out = list(merged_runs(runs, _key))
-        for i in range(0, len(out), 10_000):
-            yield _frame(out[i : i + 10_000]).assign(shard=TaskContext.get().partitionId())
+        out = merged_runs(runs, _key)
+        while some := list(itertools.islice(out, 10_000)):
+            yield _frame(some).assign(shard=TaskContext.get().partitionId())
 
     shards = tasks_for(spark, entries.count(), per_shard)
     dealt = entries.repartitionByRange(shards, *ORDER)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 from siftwell.llm import packing, repeats
 from siftwell.llm.queries import QUERIES
 
@@ -48,6 +49,18 @@ def test_stages_take_odd_rows(spark, odd_docs):
     assert at.count() > 0
 
 
+def test_columns_named_like_an_operators_own(spark, odd_docs):
+    """Columns that an operator would use for itself are kept, with their values."""
+    own = ["_row", "__row", "_t", "__t", "_q_kept", "_q_hi_wl", "_q_lang", "_Q_n_words", "_s_base", "_s_spans", "_s_rid"]
+    marked = odd_docs.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in own})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got, plain = stage(spark, marked, SF), stage(spark, odd_docs, SF)
+        assert got.columns == marked.columns
+        rows = got.collect()
+        assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in plain.collect())
+        assert all(r[c] == c + ("-" if r.doc_id is None else str(r.doc_id)) for r in rows for c in own)
+
+
 def test_payload_is_made(spark, docs, monkeypatch):
     """The pipeline returns the ids of its texts; the queries' digests come from the operators' ids and bytes."""
     for r in corpus_pipeline.run(spark, SF).collect():

@@ -82,7 +82,7 @@ def test_merged_thresholds(spark, docs):
         near[r.lang, r.rate, r.value] += r.n
         far[r.rate, r.value] += r.n
     total = lambda c, *k: sum(n for x, n in c.items() if x[:-1] == k)
-    got = {(r._g_lang, r._g_source): r for r in quality.thresholds(rated, weight=weight).collect()}
+    got = {(r["_q_lang"], r["_q_source"]): r for r in quality.thresholds(rated, weight=weight).collect()}
     for lang, source, rate in {x[:3] for x in own}:
         a, b, w = total(own, lang, source, rate), total(near, lang, rate), total(far, rate)
         upto, q = Fraction(0), []
@@ -90,7 +90,7 @@ def test_merged_thresholds(spark, docs):
             upto += own[lang, source, rate, v] + weight * (near[lang, rate, v] + weight * Fraction(far[rate, v], w)) / (b + weight)
             q += [v] * sum(4 * upto >= k * (a + weight) for k in (1, 3)[len(q) :])
         slack = quality.RATES[rate][0]
-        assert got[lang, source][f"_hi_{rate}"] == q[1] + 3 * (q[1] - q[0]) + slack and got[lang, source][f"_lo_{rate}"] == q[0] - 3 * (q[1] - q[0]) - slack
+        assert got[lang, source][f"_q_hi_{rate}"] == q[1] + 3 * (q[1] - q[0]) + slack and got[lang, source][f"_q_lo_{rate}"] == q[0] - 3 * (q[1] - q[0]) - slack
 
 
 def plain_secrets(text):
