@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, joinable, materialize
 
 #: rate -> (slack per thousand, short-text allowance, column whose size the allowance shrinks with, lower fence too)
 RATES = {"wl": (0, 8000, "n_words", True), "sy": (100, 1000, "n_words", False), "dl": (300, 1000, "n_lines", False)}
@@ -123,7 +123,7 @@ def thresholds(rated: DataFrame, min_docs: int = 200, p: str = "_q_", weight: in
 
 def _verdict(rated: DataFrame, min_docs: int, p: str, weight: int | None = None) -> DataFrame:
     """rated with p+kept: base rules and all adaptive fences together."""
-    cuts = thresholds(rated, min_docs, p, weight)
+    cuts = joinable(thresholds(rated, min_docs, p, weight))  # a row for each (lang, source): texts aren't dealt out by them
     fine = []
     for r, (_, room, of, below) in RATES.items():
         over = f"({p}{r} > {p}hi_{r} and ({p}{r} - {p}hi_{r}) * ({p}{r} - {p}hi_{r}) * {p}{of} > {room * room}L)"
