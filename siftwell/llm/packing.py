@@ -37,7 +37,7 @@ SIZE, END, REMEMBERED, STEP_CHARS = 2048, 0, 450_000, 1 << 20
 # The vocabulary's splitting rule, for text of the line end, visible ASCII and Latin-1 letters.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _PLAIN = re.compile("[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_MARKED = re.compile(rf"([{_LETTERS}]+)([^\s'{_LETTERS}0-9]+)", re.ASCII)
+_MARKED = re.compile(rf"([{_LETTERS}]+)([!-&(-/:-@\[-`{{-~]+)")
 _CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 #: Rows of counts that are broadcast at most (some 120 bytes each as a hash table).
 MAX_COUNTS = 400_000

@@ -219,7 +219,7 @@ def test_packing(docs, odd_docs):
     assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
-ODD_TEXTS = ["a  b", " a b", "a b ", "a\n b", "a \nb", "a\nb c", "don't we'll <|endoftext|> x", "　x  y", "café \U0001f600 x", "\x1c a b", "a\n\nb c's 'll x", "\n\na b", "a\tb c", "ª º µ × ÷ x", "ab12cd 3.5% a***b", "\r\n a", "­a b", "x\u00a0y z"]
+ODD_TEXTS = ["a  b", " a b", "a b ", "a\n b", "a \nb", "a\nb c", "don't we'll <|endoftext|> x", "　x  y", "café \U0001f600 x", "\x1c a b", "a\n\nb c's 'll x", "\n\na b", "a\tb c", "ª º µ × ÷ x", "ab12cd 3.5% a***b", "\r\n a", "­a b", "x\u00a0y z", "a kō Tōkyō", "x word\u00a0\u00a0. y", "x wordā日 b", "x a²b ab² ab`~[]{}@:/& c"]
 
 
 @pytest.mark.parametrize("text", ODD_TEXTS)
@@ -238,7 +238,7 @@ def test_encoding_of_random_texts(monkeypatch):
     path, r = public_tokenizers.path("byte_bpe_50k.json"), random.Random(4)
     monkeypatch.setattr(packing, "STEP_CHARS", 30)
     monkeypatch.setattr(packing, "REMEMBERED", 200)
-    chars = ["a", "b", "E", "é", "ß", "ÿ", "ñ", "'s", "'", "1", "٣", ".", "*", "$", "\n", "\t", "\r", "\x85", "\xa0", "×", "µ", "日", "\U0001f600", "　", "<|endoftext|>"]
+    chars = ["kō", "ō", "a", "b", "E", "é", "ß", "ÿ", "ñ", "'s", "'", "1", "٣", ".", "*", "$", "\n", "\t", "\r", "\x85", "\xa0", "×", "µ", "日", "\U0001f600", "　", "<|endoftext|>"]
     texts = ["".join(r.choice([*chars, " ", " ", " ", "the", "ing"]) for _ in range(r.randint(0, 200))) for _ in range(600)]
     texts += [" ".join(r.choice(["word", "Wörter,", "a.\nB", "x***", "don't", "12,5", "é"]) for _ in range(r.randint(1, 300))) for _ in range(300)]
     tok, encode = Tokenizer.from_file(path), packing._Encoder(path)
