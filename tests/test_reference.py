@@ -72,6 +72,43 @@ def test_residuals_fall(problem, solver):
     assert {1, 2} <= set(solvers.supports(iter(path(solver, problem, groups=np.arange(30) // 5, penalty=np.eye(30))), 30, 1)[0].tolist())
 
 
+@pytest.mark.parametrize("solver", ["tlars", "tlasso", "tstagewise"])
+def test_equal_columns_leave_the_path_alone(solver):
+    r = np.random.RandomState(8)
+    x, d = r.randn(9000, 10), r.randn(9000, 20)
+    x[:, 4], x[:, 5], x[:, 9] = x[:, 3], 0, -x[:, 2]
+    y = x[:, [1, 2, 3]] @ [5, -3, 2] + 2 * r.randn(9000)
+    z, y, keep = np.hstack([x, d]), y - y.mean(), [j for j in range(30) if j not in (4, 5, 9)]
+    z = (z - z.mean(0)) / np.maximum(np.linalg.norm(z - z.mean(0), axis=0), 1e-9)
+    with_, without = (solvers.states(solvers.SOLVERS[solver](m, y), p, 1)[0] for m, p in ((z, 10), (z[:, keep], 7)))
+    assert np.allclose(with_[keep], without, atol=1e-6 * np.linalg.norm(y)) and not with_[[4, 5, 9]].any()
+
+
+@pytest.mark.parametrize("solver", sorted(solvers.SOLVERS))
+def test_paths_on_reduced_rows(solver):
+    """A tall design is read by its triangle, of as many rows as columns: every path is that of the whole design."""
+    r = np.random.RandomState(8)
+    x, d = r.randn(9000, 10), r.randn(9000, 20)
+    x[:, 5] = 0
+    if not solver.endswith(("net", "net_aug")):  # equal columns tie on a net's path, which rounding then decides
+        x[:, 4], x[:, 9] = x[:, 3], -x[:, 2]
+    ys = np.column_stack([x[:, [1, 2, 3]] @ [5, -3, 2] + 2 * r.randn(9000), r.randn(9000)])
+    x, d, ys = x - x.mean(0), d - d.mean(0), ys - ys.mean(0)
+    x, d = x / np.maximum(np.linalg.norm(x, axis=0), 1e-9), d / np.linalg.norm(d, axis=0)
+    z, ends = solvers.reduced(x, d, ys)
+    assert z.shape == (32, 30) and ends.shape == (32, 2)
+    whole = np.hstack([x, d])
+    assert np.allclose(z.T @ z, whole.T @ whole) and np.allclose(z.T @ ends, whole.T @ ys) and np.allclose(ends.T @ ends, ys.T @ ys)
+    more = {"groups": np.arange(10) // 5, "penalty": np.eye(10)}
+    for q in range(2):
+        a = solvers.states(solvers.SOLVERS[solver](whole, ys[:, q], **more), 10, 3)
+        b = solvers.states(solvers.SOLVERS[solver](z, ends[:, q], **more), 10, 3)
+        assert len(a) == len(b) == 3
+        assert all(np.allclose(u, v, atol=1e-6 * np.linalg.norm(ys[:, q])) for u, v in zip(a, b, strict=True))
+    short = solvers.reduced(x[:31], d[:31], ys[:31])
+    assert np.array_equal(short[0], whole[:31]) and np.array_equal(short[1], ys[:31])
+
+
 @pytest.mark.parametrize("name", sorted(dummies.DISTRIBUTIONS))
 def test_dummies(name):
     a = dummies.dummies(4000, 6, 2, 3, 5, "hconcat", name)
