@@ -11,6 +11,7 @@ import dataclasses
 import math
 import statistics
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dummies import cluster_factors, dummies
-from ..functions.solvers import SOLVERS, TOL, reduced, states
+from ..functions.solvers import SOLVERS, TOL, states_of
 from ..operators import clusters, penalties
 from ..operators.calibrate import ar1_reach
 from ..operators.matrix import check
@@ -107,10 +108,9 @@ def _runs(spark, m: np.ndarray, ys: np.ndarray, control: Control, layers: int, t
                 if "factors" not in c.options:
                     norm = np.linalg.norm(d, axis=0) / (1 if c.scaling == "l2" else math.sqrt(n - 1))
                     d /= np.where(norm < EPS, 1.0, norm)
-                z, ends = reduced(x, d, targets)
+                z = np.hstack([x, d])
                 options = {o: v for o, v in c.options.items() if o in SOLVER_OPTIONS}
-                for q in range(targets.shape[1]):
-                    found = states(SOLVERS[c.solver](z, ends[:, q], **options), p, t_stop, c.options.get("exact", False))
+                for q, found in enumerate(states_of(partial(SOLVERS[c.solver], **options), z, targets, p, t_stop, c.options.get("exact", False), c.solver == "tafs")):
                     found += [found[-1] if found else np.zeros(z.shape[1])] * (t_stop - len(found))
                     for t, beta in enumerate(found):
                         on = np.flatnonzero(np.abs(beta if betas and t == t_stop - 1 else beta[:p]) > EPS)

@@ -72,6 +72,31 @@ def test_residuals_fall(problem, solver):
     assert {1, 2} <= set(solvers.supports(iter(path(solver, problem, groups=np.arange(30) // 5, penalty=np.eye(30))), 30, 1)[0].tolist())
 
 
+def test_adaptive_steps_lie_between_least_angle_and_least_squares(problem):
+    z, y = problem
+    small = path("tafs", problem, rho=0.01)
+    entered = list(dict.fromkeys(j for b in small for j in np.flatnonzero(b).tolist()))[:8]
+    angles = path("tlars", problem)[:8]
+    assert entered == list(dict.fromkeys(j for b in angles for j in np.flatnonzero(b).tolist()))
+    sixth = next(b for b in small if np.count_nonzero(b) == 6)  # as the sixth enters, coefficients are those of five
+    assert np.abs(z @ (sixth - angles[4])).max() < 0.05 * np.abs(y).max()
+    full = path("tafs", problem, rho=1.0)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(full[:8], path("tomp", problem)[:8], strict=True))
+
+
+def test_adaptive_steps_leave_a_related_column_out():
+    """Column 0 has no part in y but is related to one that has: what is left of that one isn't taken for a signal of 0."""
+    r = np.random.RandomState(12)
+    x, d = r.randn(20000, 20), r.randn(20000, 40)
+    x[:, 0] += 0.2 * x[:, 1]
+    x, d, noise = x - x.mean(0), d - d.mean(0), r.uniform(-1, 1, 20000)
+    noise -= x @ np.linalg.lstsq(x, noise, rcond=None)[0]  # of which no column has a share by chance
+    y = x[:, [1, 2, 3]] @ [5, -3, 2] + noise
+    z = np.hstack([x, d]) / np.linalg.norm(np.hstack([x, d]), axis=0)
+    for solver in ("tomp", "tlars", "tafs"):
+        assert solvers.supports(solvers.SOLVERS[solver](z, y - y.mean()), 20, 1)[0].tolist() == [1, 2, 3]
+
+
 @pytest.mark.parametrize("solver", ["tlars", "tlasso", "tstagewise"])
 def test_equal_columns_leave_the_path_alone(solver):
     r = np.random.RandomState(8)
@@ -95,17 +120,18 @@ def test_paths_on_reduced_rows(solver):
     ys = np.column_stack([x[:, [1, 2, 3]] @ [5, -3, 2] + 2 * r.randn(9000), r.randn(9000)])
     x, d, ys = x - x.mean(0), d - d.mean(0), ys - ys.mean(0)
     x, d = x / np.maximum(np.linalg.norm(x, axis=0), 1e-9), d / np.linalg.norm(d, axis=0)
-    z, ends = solvers.reduced(x, d, ys)
-    assert z.shape == (32, 30) and ends.shape == (32, 2)
     whole = np.hstack([x, d])
+    z, ends = solvers.reduced(whole, ys, 10)
+    assert z.shape == (32, 30) and ends.shape == (32, 2)
     assert np.allclose(z.T @ z, whole.T @ whole) and np.allclose(z.T @ ends, whole.T @ ys) and np.allclose(ends.T @ ends, ys.T @ ys)
     more = {"groups": np.arange(10) // 5, "penalty": np.eye(10)}
+    split = list(solvers.states_of(lambda z, y: solvers.SOLVERS[solver](z, y, **more), whole, ys, 10, 3))
     for q in range(2):
         a = solvers.states(solvers.SOLVERS[solver](whole, ys[:, q], **more), 10, 3)
         b = solvers.states(solvers.SOLVERS[solver](z, ends[:, q], **more), 10, 3)
-        assert len(a) == len(b) == 3
-        assert all(np.allclose(u, v, atol=1e-6 * np.linalg.norm(ys[:, q])) for u, v in zip(a, b, strict=True))
-    short = solvers.reduced(x[:31], d[:31], ys[:31])
+        assert len(a) == len(b) == len(split[q]) == 3
+        assert all(np.allclose(u, v, atol=1e-6 * np.linalg.norm(ys[:, q])) for u, v in zip([*a, *a], [*b, *split[q]], strict=True))
+    short = solvers.reduced(whole[:31], ys[:31], 10)
     assert np.array_equal(short[0], whole[:31]) and np.array_equal(short[1], ys[:31])
 
 
