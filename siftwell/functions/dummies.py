@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
+BLOCK = 4096
 
-def _generator(seed: int, k: int, layer: int) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(key=[(seed & 0xFFFFFFFF) << 32 | k, layer]))
+
+def _generator(seed: int, k: int, layer: int, block: int = 0) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(key=[(seed & 0xFFFFFFFF) << 32 | k, layer], counter=[0, 0, block, 0]))
 
 
 def _sparse(g: np.random.Generator, n: int, p: int, s: float = 0.1) -> np.ndarray:
@@ -39,12 +41,12 @@ DISTRIBUTIONS = {
 }
 
 
-def cluster_factors(m: np.ndarray, groups: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(columns, lower factor of their covariance) of each group of standardized columns."""
+def cluster_factors(m: np.ndarray, groups: np.ndarray, n: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(columns, lower factor of their covariance) of each group of standardized columns; n: of how many rows m has the products."""
     out = []
     for g in np.unique(groups):
         of = np.flatnonzero(groups == g)
-        c = m[:, of].T @ m[:, of] / (len(m) - 1)
+        c = m[:, of].T @ m[:, of] / ((n or len(m)) - 1)
         out.append((of, np.linalg.cholesky(c + 1e-10 * np.eye(len(of)))))
     return out
 
@@ -57,18 +59,25 @@ def _clustered(g: np.random.Generator, n: int, p: int, factors: list[tuple[np.nd
     return out
 
 
-def dummies(n: int, p: int, layers: int, k: int, seed: int, strategy: str = "standard", distribution: str = "normal", factors: list | None = None) -> np.ndarray:
+def dummies(n: int, p: int, layers: int, k: int, seed: int, strategy: str = "standard", distribution: str = "normal", factors: list | None = None, block: int | None = None) -> np.ndarray:
     """n x (layers * p) dummies of experiment k.
 
     standard and seeded: fresh draws for each number of layers; hconcat: a layer is the same whatever follows it;
     permutation: one base for all k, its rows shuffled by k (k = 0: as drawn); skipl draws like standard.  With
     `factors` (of cluster_factors) a layer's columns are correlated within groups.
+
+    With `block`, only rows BLOCK * block on, at most BLOCK of them: blocks are drawn each by itself (the first like a
+    design of its rows), and permutation shuffles whole blocks and the rows within each.
     """
     draw = DISTRIBUTIONS[distribution] if factors is None else lambda g, n, p: _clustered(g, n, p, factors)
     if factors is not None and strategy.startswith("permutation"):
         raise ValueError("rows of grouped dummies aren't permuted")
+    rows, at = (n, 0) if block is None else (min(BLOCK, n - BLOCK * block), block)
     if strategy.startswith("permutation"):
-        base = np.hstack([draw(_generator(seed, 0, j), n, p) for j in range(layers)])
-        return base if k == 0 else base[_generator(seed, k, 1 << 20).permutation(n)]
+        source = at
+        if block is not None and k and block < n // BLOCK:
+            source = int(_generator(seed, k, 1 << 21).permutation(n // BLOCK)[block])
+        base = np.hstack([draw(_generator(seed, 0, j, source), rows, p) for j in range(layers)])
+        return base if k == 0 else base[_generator(seed, k, 1 << 20, at).permutation(rows)]
     first = 0 if strategy == "hconcat" else layers << 16
-    return np.hstack([draw(_generator(seed, k, first + j), n, p) for j in range(layers)])
+    return np.hstack([draw(_generator(seed, k, first + j, at), rows, p) for j in range(layers)])

@@ -1,12 +1,14 @@
 """Variable selection with a controlled false discovery rate.
 
-The K random experiments are one Spark job of K tasks: each gets the standardized design (broadcast, so its size is
-checked against MAX_BROADCAST), draws its own dummies and returns which columns were active as each dummy entered, for
-all T up to a cap in one run.  Frequencies are an aggregation of those rows; calibration works on p x T numbers.
+The K random experiments are one Spark job of K tasks: each gets the standardized design, draws its own dummies and
+returns which columns were active as each dummy entered, for all T up to a cap in one run.  A design of at most GATHERED
+bytes is broadcast; a larger one stays on the executors where it has more rows than columns (operators/tall.py), else it
+is broadcast up to MAX_BROADCAST.  Frequencies are an aggregation of those rows; calibration works on p x T numbers.
 """
 
 from __future__ import annotations
 
+import contextlib
 import dataclasses
 import math
 import statistics
@@ -22,9 +24,10 @@ from ..functions.dummies import cluster_factors, dummies
 from ..functions.solvers import SOLVERS, TOL, states_of
 from ..operators import clusters, penalties
 from ..operators.calibrate import ar1_reach
-from ..operators.matrix import check
+from ..operators.matrix import MAX_GRAM, check
+from ..operators.tall import Tall, tall
 
-MAX_BROADCAST, EPS = 200 << 20, float(np.finfo(float).eps)
+GATHERED, MAX_BROADCAST, EPS = 64 << 20, 200 << 20, float(np.finfo(float).eps)
 SOLVER_OPTIONS = frozenset({"lambda2", "rho", "groups", "penalty", "inner"})
 GREEDY = frozenset({"tomp", "tools", "tmp", "tgp", "tacgp", "tncgmp", "tncgmp_full", "tafs"})
 
@@ -63,8 +66,7 @@ class Selection:
 
 def _gathered(x: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features and further columns in the order of row_id, on the driver; size-checked."""
-    p = check(x)
-    n = x.count()
+    p, n = check(x), x.count()
     if n * (p + len(columns)) * 8 > MAX_BROADCAST:
         raise ValueError(f"{n} x {p} is more than is broadcast; use fewer columns (screening) or rows")
     rows = x.select("row_id", "features", *[F.col(y).cast("double").alias(f"y{k}") for k, y in enumerate(columns)]).toPandas().sort_values("row_id", kind="stable")
@@ -74,28 +76,95 @@ def _gathered(x: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]
     return np.array(rows["features"].tolist(), float), t
 
 
-def centered(x: DataFrame) -> np.ndarray:
+def _tall(x: DataFrame, columns: list[str], layers: int, scaling: str = "l2") -> Tall | None:
+    """The design where it is left on the executors."""
+    p = check(x)
+    bad = [F.max((F.col(y).cast("double").isNull() | F.isnan(F.col(y).cast("double")) | (F.abs(F.col(y).cast("double")) == float("inf"))).cast("int")) for y in columns]
+    n, *wrong = x.agg(F.count("*"), *bad).first()
+    most = p * (1 + layers) + len(columns)
+    if n * (p + len(columns)) * 8 <= GATHERED or n <= most or most > MAX_GRAM:
+        return None
+    if any(wrong):
+        raise ValueError("the response has null or infinite values")
+    return tall(x, columns, n, p, scaling)
+
+
+def centered(x: DataFrame) -> tuple[np.ndarray, int]:
+    """A matrix with the products of the centered columns, and how many rows they have."""
+    far = _tall(x, [], 0)
+    if far is not None:
+        with released(far):
+            return far.raw, far.shape[0]
     m, _ = _gathered(x, [])
-    return m - m.mean(0)
+    return m - m.mean(0), len(m)
 
 
-def designs(x: DataFrame, responses: list[str], scaling: str = "l2") -> tuple[np.ndarray, np.ndarray]:
-    """Standardized columns and centered responses [n, q]."""
+def designs(x: DataFrame, responses: list[str], scaling: str = "l2", layers: int = 10) -> tuple[np.ndarray | Tall, np.ndarray]:
+    """Standardized columns and centered responses [n, q], for up to so many layers of dummies.  What is left on the
+    executors comes as its triangle (Tall) and the responses' part of it, to be let go of by `released`."""
+    far = _tall(x, responses, layers, scaling)
+    if far is not None:
+        return far, far.ends
     m, t = _gathered(x, responses)
     m = m - m.mean(0)
     scale = np.linalg.norm(m, axis=0) / (1 if scaling == "l2" else math.sqrt(len(m) - 1))
     return m / np.where(scale < EPS, 1.0, scale), t - t.mean(0)
 
 
-def design(x: DataFrame, y: str, scaling: str = "l2") -> tuple[np.ndarray, np.ndarray]:
+def design(x: DataFrame, y: str, scaling: str = "l2", layers: int = 10) -> tuple[np.ndarray | Tall, np.ndarray]:
     """The same for one response [n]."""
-    m, t = designs(x, [y], scaling)
+    m, t = designs(x, [y], scaling, layers)
     return m, t[:, 0]
 
 
-def _runs(spark, m: np.ndarray, ys: np.ndarray, control: Control, layers: int, t_stop: int, betas: bool) -> DataFrame:
+@contextlib.contextmanager
+def released(m: np.ndarray | Tall) -> Iterator[None]:
+    try:
+        yield
+    finally:
+        if isinstance(m, Tall):
+            m.free()
+
+
+def rows_for(m: np.ndarray | Tall) -> np.ndarray:
+    """A matrix with the products of the standardized columns."""
+    return m.triangle if isinstance(m, Tall) else m
+
+
+def _lag(m: np.ndarray | Tall) -> float:
+    """The mean over rows of the lag-1 ratio along columns."""
+    return m.lag() if isinstance(m, Tall) else np.mean((m[:, 1:] * m[:, :-1]).sum(1) / np.maximum((m * m).sum(1), EPS))
+
+
+def _found(z: np.ndarray, targets: np.ndarray, p: int, t_stop: int, c: Control, betas: bool) -> Iterator[pd.DataFrame]:
+    """Rows of one experiment, of which z is [X D]."""
+    options = {o: v for o, v in c.options.items() if o in SOLVER_OPTIONS}
+    for q, found in enumerate(states_of(partial(SOLVERS[c.solver], **options), z, targets, p, t_stop, c.options.get("exact", False), c.solver == "tafs")):
+        found += [found[-1] if found else np.zeros(z.shape[1])] * (t_stop - len(found))
+        for t, beta in enumerate(found):
+            on = np.flatnonzero(np.abs(beta if betas and t == t_stop - 1 else beta[:p]) > EPS)
+            yield pd.DataFrame({"q": np.int32(q), "t": np.int32(t), "col_id": on.astype(np.int32), "beta": beta[on]})
+
+
+def _far_runs(m: Tall, ys: np.ndarray, c: Control, layers: int, t_stop: int, betas: bool) -> DataFrame:
+    p = m.shape[1]
+    x, more = m.triangle, layers * p
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        targets = np.vstack([ys, np.zeros((more, ys.shape[1]))])
+        for f in frames:
+            for d in f["d"]:
+                z = np.hstack([np.vstack([x, np.zeros((more, p))]), np.frombuffer(d).reshape(-1, more)])
+                yield from _found(z, targets, p, t_stop, c, betas)
+
+    return m.drawn(c, layers).mapInPandas(run, "q int, t int, col_id int, beta double")
+
+
+def _runs(spark, m: np.ndarray | Tall, ys: np.ndarray, control: Control, layers: int, t_stop: int, betas: bool) -> DataFrame:
     """One task for each experiment: rows (q, t, col_id, beta) of the columns active as dummy t + 1 entered, for each
     response q (a column of ys); with betas also those of dummies (col_id >= p) at the last t."""
+    if isinstance(m, Tall):
+        return _far_runs(m, ys, control, layers, t_stop, betas)
     n, p = m.shape
     shared = spark.sparkContext.broadcast((m, ys, control))  # bounded by MAX_BROADCAST
 
@@ -108,18 +177,12 @@ def _runs(spark, m: np.ndarray, ys: np.ndarray, control: Control, layers: int, t
                 if "factors" not in c.options:
                     norm = np.linalg.norm(d, axis=0) / (1 if c.scaling == "l2" else math.sqrt(n - 1))
                     d /= np.where(norm < EPS, 1.0, norm)
-                z = np.hstack([x, d])
-                options = {o: v for o, v in c.options.items() if o in SOLVER_OPTIONS}
-                for q, found in enumerate(states_of(partial(SOLVERS[c.solver], **options), z, targets, p, t_stop, c.options.get("exact", False), c.solver == "tafs")):
-                    found += [found[-1] if found else np.zeros(z.shape[1])] * (t_stop - len(found))
-                    for t, beta in enumerate(found):
-                        on = np.flatnonzero(np.abs(beta if betas and t == t_stop - 1 else beta[:p]) > EPS)
-                        yield pd.DataFrame({"q": np.int32(q), "t": np.int32(t), "col_id": on.astype(np.int32), "beta": beta[on]})
+                yield from _found(np.hstack([x, d]), targets, p, t_stop, c, betas)
 
     return spark.range(control.k).repartition(control.k, "id").mapInPandas(run, "q int, t int, col_id int, beta double")
 
 
-def experiments_for(spark, m: np.ndarray, ys: np.ndarray, control: Control, layers: int, t_stop: int) -> np.ndarray:
+def experiments_for(spark, m: np.ndarray | Tall, ys: np.ndarray, control: Control, layers: int, t_stop: int) -> np.ndarray:
     """Phi [q, T, p]: how often each column was active when dummy 1 .. T entered."""
     rows = _runs(spark, m, ys, control, layers, t_stop, False).groupBy("q", "t", "col_id").count().collect()  # at most q x T x p
     phi = np.zeros((ys.shape[1], t_stop, m.shape[1]))
@@ -128,7 +191,7 @@ def experiments_for(spark, m: np.ndarray, ys: np.ndarray, control: Control, laye
     return phi
 
 
-def experiments(spark, m: np.ndarray, y: np.ndarray, control: Control, layers: int, t_stop: int) -> np.ndarray:
+def experiments(spark, m: np.ndarray | Tall, y: np.ndarray, control: Control, layers: int, t_stop: int) -> np.ndarray:
     """Phi [T, p] of one response."""
     return experiments_for(spark, m, y[:, None], control, layers, t_stop)[0]
 
@@ -192,17 +255,19 @@ class Dependence:
     Options: grid_length (20), linkage (single), groups (labels, or a list of them, which are refined), threshold (0.02).
     """
 
-    def __init__(self, method: str | None, m: np.ndarray, options: dict) -> None:
+    def __init__(self, method: str | None, m: np.ndarray | Tall, options: dict) -> None:
         p = m.shape[1]
         self.method, self.rho, self.labels, self.reach, self.corr = method, None, [], 0, None
         low = options.get("threshold", 0.02)
         if method == "equi":
+            m = rows_for(m)
             rho = options.get("cor_coef", (np.square(m @ (1 / np.maximum(np.linalg.norm(m, axis=0), EPS))).sum() - p) / (p * (p - 1)))
             self.labels = [np.zeros(p, int)] if abs(rho) > low else []
         elif method == "ar1":
-            rho = options.get("cor_coef", abs(np.mean((m[:, 1:] * m[:, :-1]).sum(1) / np.maximum((m * m).sum(1), EPS))))
+            rho = options["cor_coef"] if "cor_coef" in options else abs(_lag(m))
             self.reach = ar1_reach(rho) if 0 < rho < 1 else 1 if rho == 0 else p
         elif method in ("bt", "nn", "prior_groups"):
+            m = rows_for(m)
             norm = np.linalg.norm(m, axis=0)
             corr = np.abs(m.T @ m) / np.maximum(np.outer(norm, norm), EPS)
             length = min(options.get("grid_length", 20), p)
@@ -263,11 +328,12 @@ def select(x: DataFrame, y: str, t_fdr: float = 0.1, control: Control | None = N
     `dependence` deflates frequencies among related columns (see Dependence).
     """
     c = control or Control()
-    m, target = design(x, y, c.scaling)
-    return calibrated(x.sparkSession, m, target, t_fdr, c, dependence)
+    m, target = design(x, y, c.scaling, c.max_layers)
+    with released(m):
+        return calibrated(x.sparkSession, m, target, t_fdr, c, dependence)
 
 
-def calibrated(spark, m: np.ndarray, target: np.ndarray, t_fdr: float, c: Control, dependence: str | None = None) -> Selection:
+def calibrated(spark, m: np.ndarray | Tall, target: np.ndarray, t_fdr: float, c: Control, dependence: str | None = None) -> Selection:
     """The selection on a standardized design."""
     near = Dependence(dependence, m, c.options)
     n, p = m.shape
@@ -330,13 +396,13 @@ def _screen_blocks(p: int, blocks: int) -> np.ndarray:
     return np.repeat(np.arange(blocks), [p // blocks + (b < p % blocks) for b in range(blocks)])
 
 
-def _screen_over(phi: np.ndarray, m: np.ndarray, dependence: str, options: dict) -> np.ndarray:
+def _screen_over(phi: np.ndarray, m: np.ndarray | Tall, dependence: str, options: dict) -> np.ndarray:
     """What screening divides frequencies by; a gap above 1.5 counts as none."""
     p, low = m.shape[1], options.get("threshold", 0.02)
-    u = m / np.maximum(np.linalg.norm(m, axis=0), EPS)
+    u = rows_for(m) / np.maximum(np.linalg.norm(rows_for(m), axis=0), EPS)
     mean_corr = lambda of: (np.square(u[:, of].sum(1)).sum() - len(of)) / (len(of) * (len(of) - 1)) if len(of) > 1 else 0.0
     if dependence == "ar1":
-        rho = min(0.999, max(0.001, abs(np.mean((m[:, 1:] * m[:, :-1]).sum(1) / np.maximum((m * m).sum(1), EPS)))))
+        rho = min(0.999, max(0.001, abs(_lag(m))))
         gap = _gap_in_window(phi, max(1, math.ceil(math.log(low) / math.log(rho))))
     else:
         labels = np.zeros(p, int) if dependence == "equi" else _screen_blocks(p, options.get("blocks", 5))
@@ -347,7 +413,7 @@ def _screen_over(phi: np.ndarray, m: np.ndarray, dependence: str, options: dict)
     return 2 - np.where(gap > 1.5, 0.0, gap)
 
 
-def screened(spark, m: np.ndarray, ys: np.ndarray, c: Control, dependence: str | None = None) -> list[Screened]:
+def screened(spark, m: np.ndarray | Tall, ys: np.ndarray, c: Control, dependence: str | None = None) -> list[Screened]:
     """Screening of each column of ys from one job: frequencies above one half at the first dummy."""
     p, q = m.shape[1], ys.shape[1]
     rows = _runs(spark, m, ys, c, 1, 1, True).collect()  # the active columns of k x q runs with one dummy each
@@ -384,8 +450,9 @@ def bootstrapped(s: Screened, resamples: int = 1000, step: float = 0.001, seed:
 def screen(x: DataFrame, y: str, control: Control | None = None, dependence: str | None = None, bootstrap: bool = False) -> tuple[np.ndarray, float]:
     """(selected columns, estimated rate 1 / their number); dependence: ar1, equi or block_equi."""
     c = control or Control()
-    m, target = design(x, y, c.scaling)
-    s = screened(x.sparkSession, m, target[:, None], c, dependence)[0]
+    m, target = design(x, y, c.scaling, 1)
+    with released(m):
+        s = screened(x.sparkSession, m, target[:, None], c, dependence)[0]
     s = bootstrapped(s, seed=c.seed) if bootstrap else s
     return s.selected, s.fdr
 
@@ -393,17 +460,18 @@ def screen(x: DataFrame, y: str, control: Control | None = None, dependence: str
 def screen_many(x: DataFrame, responses: list[str], control: Control | None = None, t_fdr: float = 0.1, bounds: tuple = (0.05, 0.15)) -> dict[str, tuple[np.ndarray, str]]:
     """Screening of several responses in one job; one whose estimates are out of bounds gets a full selection."""
     c = control or Control()
-    m, ys = designs(x, responses, c.scaling)
+    m, ys = designs(x, responses, c.scaling, c.max_layers)
     lo, hi = bounds
     out = {}
-    for k, s in enumerate(screened(x.sparkSession, m, ys, c)):
-        b = bootstrapped(s, seed=c.seed)
-        if lo <= b.fdr <= hi and (s.fdr > hi or b.fdr >= s.fdr):
-            out[responses[k]] = (b.selected, "bootstrap")
-        elif lo <= s.fdr <= hi:
-            out[responses[k]] = (s.selected, "ordinary")
-        else:
-            out[responses[k]] = (calibrated(x.sparkSession, m, ys[:, k], t_fdr, c).selected, "full")
+    with released(m):
+        for k, s in enumerate(screened(x.sparkSession, m, ys, c)):
+            b = bootstrapped(s, seed=c.seed)
+            if lo <= b.fdr <= hi and (s.fdr > hi or b.fdr >= s.fdr):
+                out[responses[k]] = (b.selected, "bootstrap")
+            elif lo <= s.fdr <= hi:
+                out[responses[k]] = (s.selected, "ordinary")
+            else:
+                out[responses[k]] = (calibrated(x.sparkSession, m, ys[:, k], t_fdr, c).selected, "full")
     return out
 
 
@@ -414,19 +482,21 @@ def select_groups(x: DataFrame, y: str, t_fdr: float = 0.1, corr_max: float = 0.
     standard error of the best ridge error (informed: of the informed net), in the solver's scale.
     """
     c = control or Control()
-    m, target = design(x, y, c.scaling)
+    m, target = design(x, y, c.scaling, c.max_layers)
     n, p = m.shape
-    if groups is None:
-        norm = np.linalg.norm(m, axis=0)
-        merges = clusters.tree(np.clip(1 - np.abs(m.T @ m) / np.maximum(np.outer(norm, norm), EPS), 0, None), linkage)
-        groups = clusters.cut_by_height(merges, p, 1 - corr_max)
-    groups = np.asarray(groups, int)
-    if lambda2 is None:
-        found = penalties.informed_cv(x, y, group_penalty(groups), seed=c.seed) if informed else penalties.elastic_net_cv(x, y, 0.0, seed=c.seed)
-        lambda2 = found.at_1se * (1 if informed else p / 2) * (n - 1 if c.scaling == "zscore" else 1)
-    more = {"groups": groups, "lambda2": lambda2, "exact": True} | ({"factors": cluster_factors(m, groups)} if grouped_dummies else {})
-    c = dataclasses.replace(c, solver="tienet" if informed else "tenet", options=c.options | more)
-    return calibrated(x.sparkSession, m, target, t_fdr, c)
+    with released(m):
+        rows = rows_for(m)
+        if groups is None:
+            norm = np.linalg.norm(rows, axis=0)
+            merges = clusters.tree(np.clip(1 - np.abs(rows.T @ rows) / np.maximum(np.outer(norm, norm), EPS), 0, None), linkage)
+            groups = clusters.cut_by_height(merges, p, 1 - corr_max)
+        groups = np.asarray(groups, int)
+        if lambda2 is None:
+            found = penalties.informed_cv(x, y, group_penalty(groups), seed=c.seed) if informed else penalties.elastic_net_cv(x, y, 0.0, seed=c.seed)
+            lambda2 = found.at_1se * (1 if informed else p / 2) * (n - 1 if c.scaling == "zscore" else 1)
+        more = {"groups": groups, "lambda2": lambda2, "exact": True} | ({"factors": cluster_factors(rows, groups, n)} if grouped_dummies else {})
+        c = dataclasses.replace(c, solver="tienet" if informed else "tenet", options=c.options | more)
+        return calibrated(x.sparkSession, m, target, t_fdr, c)
 
 
 def group_penalty(groups: np.ndarray) -> np.ndarray:
@@ -460,7 +530,7 @@ def sparse_components(x: DataFrame, count: int, t_fdr: float = 0.1, control: Con
     found = components(x, count)
     scored = scores(x, found)
     loadings, active = np.zeros((len(found.mean), len(found.sd))), []
-    raw = centered(x)
+    raw, n = centered(x)
     for k in range(len(found.sd)):
         y = x.join(scored.select("row_id", F.col("scores")[k].alias("__score")), "row_id")
         own = dataclasses.replace(c, seed=c.seed * 1_000_003 + k)
@@ -474,4 +544,4 @@ def sparse_components(x: DataFrame, count: int, t_fdr: float = 0.1, control: Con
         loadings[:, k] /= np.linalg.norm(loadings[:, k]) or 1.0
         active.append(on)
     r = np.linalg.qr(raw @ loadings, mode="r")
-    return SparseComponents(loadings, active, np.diag(r) ** 2 / (len(raw) - 1))
+    return SparseComponents(loadings, active, np.diag(r) ** 2 / (n - 1))
