@@ -9,6 +9,7 @@ from siftwell.plans import selectors as S
 #: What was refused beyond MAX_BROADCAST: (query, its control).
 REFUSED = {
     "select_skipl": {"strategy": "skipl", "max_layers": 4},
+    "select_tomp": {"solver": "tomp"},
 }
 
 
@@ -28,7 +29,7 @@ def frame(spark):
 
 @pytest.mark.parametrize("query", sorted(REFUSED))
 def test_selection_beyond_what_is_broadcast(frame, monkeypatch, query):
-    c = S.Control(k=6, seed=2, **REFUSED[query])
+    c = S.Control(**{"k": 6, "seed": 2} | REFUSED[query])
     want = S.select(frame, "y", 0.1, c)
     monkeypatch.setattr(S, "GATHERED", 0, raising=False)
     monkeypatch.setattr(S, "MAX_BROADCAST", 0)
