@@ -10,6 +10,7 @@ from siftwell.plans import selectors as S
 REFUSED = {
     "select_skipl": {"strategy": "skipl", "max_layers": 4},
     "select_tomp": {"solver": "tomp"},
+    "found_tgp": {"solver": "tgp", "seed": 5},
 }
 
 
