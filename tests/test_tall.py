@@ -11,6 +11,7 @@ REFUSED = {
     "select_skipl": {"strategy": "skipl", "max_layers": 4},
     "select_tomp": {"solver": "tomp"},
     "found_tgp": {"solver": "tgp", "seed": 5},
+    "select_tncgmp": {"solver": "tncgmp"},
 }
 
 
