@@ -12,6 +12,7 @@ REFUSED = {
     "select_tomp": {"solver": "tomp"},
     "found_tgp": {"solver": "tgp", "seed": 5},
     "select_tncgmp": {"solver": "tncgmp"},
+    "select_tmp": {"solver": "tmp"},
 }
 
 
