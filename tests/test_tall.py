@@ -13,6 +13,7 @@ REFUSED = {
     "found_tgp": {"solver": "tgp", "seed": 5},
     "select_tncgmp": {"solver": "tncgmp"},
     "select_tmp": {"solver": "tmp"},
+    "found_tacgp": {"solver": "tacgp", "seed": 5},
 }
 
 
