@@ -14,6 +14,7 @@ REFUSED = {
     "select_tncgmp": {"solver": "tncgmp"},
     "select_tmp": {"solver": "tmp"},
     "found_tacgp": {"solver": "tacgp", "seed": 5},
+    "found_tomp": {"solver": "tomp", "seed": 5},
 }
 
 
