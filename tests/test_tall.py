@@ -15,6 +15,7 @@ REFUSED = {
     "select_tmp": {"solver": "tmp"},
     "found_tacgp": {"solver": "tacgp", "seed": 5},
     "found_tomp": {"solver": "tomp", "seed": 5},
+    "select_tstepwise": {"solver": "tstepwise"},
 }
 
 
