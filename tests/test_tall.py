@@ -16,6 +16,7 @@ REFUSED = {
     "found_tacgp": {"solver": "tacgp", "seed": 5},
     "found_tomp": {"solver": "tomp", "seed": 5},
     "select_tstepwise": {"solver": "tstepwise"},
+    "select_tools": {"solver": "tools"},
 }
 
 
