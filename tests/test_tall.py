@@ -17,6 +17,7 @@ REFUSED = {
     "found_tomp": {"solver": "tomp", "seed": 5},
     "select_tstepwise": {"solver": "tstepwise"},
     "select_tools": {"solver": "tools"},
+    "found_tools": {"solver": "tools", "seed": 5},
 }
 
 
