@@ -18,6 +18,7 @@ REFUSED = {
     "select_tstepwise": {"solver": "tstepwise"},
     "select_tools": {"solver": "tools"},
     "found_tools": {"solver": "tools", "seed": 5},
+    "found_tenet": {"solver": "tenet", "seed": 5},
 }
 
 
@@ -42,7 +43,7 @@ def test_selection_beyond_what_is_broadcast(frame, monkeypatch, query):
     monkeypatch.setattr(S, "GATHERED", 0, raising=False)
     monkeypatch.setattr(S, "MAX_BROADCAST", 0)
     got = S.select(frame, "y", 0.1, c)
-    assert got.selected.tolist() == want.selected.tolist() == [1, 2, 3]
+    assert got.selected.tolist() == want.selected.tolist() == ([1, 2, 3, 5, 7] if c.solver == "tenet" else [1, 2, 3])  # a net takes copies too
     assert (got.layers, got.t_stop, got.v) == (want.layers, want.t_stop, want.v) and np.array_equal(got.phi, want.phi)
     assert np.allclose(got.phi_prime, want.phi_prime) and np.allclose(got.fdp_hat, want.fdp_hat)
 
