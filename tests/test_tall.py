@@ -19,6 +19,7 @@ REFUSED = {
     "select_tools": {"solver": "tools"},
     "found_tools": {"solver": "tools", "seed": 5},
     "found_tenet": {"solver": "tenet", "seed": 5},
+    "select_tacgp": {"solver": "tacgp"},
 }
 
 
