@@ -20,6 +20,7 @@ REFUSED = {
     "found_tools": {"solver": "tools", "seed": 5},
     "found_tenet": {"solver": "tenet", "seed": 5},
     "select_tacgp": {"solver": "tacgp"},
+    "found_tmp": {"solver": "tmp", "seed": 5},
 }
 
 
