@@ -21,6 +21,7 @@ REFUSED = {
     "found_tenet": {"solver": "tenet", "seed": 5},
     "select_tacgp": {"solver": "tacgp"},
     "found_tmp": {"solver": "tmp", "seed": 5},
+    "select_tlasso": {"solver": "tlasso"},
 }
 
 
