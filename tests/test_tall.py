@@ -22,6 +22,7 @@ REFUSED = {
     "select_tacgp": {"solver": "tacgp"},
     "found_tmp": {"solver": "tmp", "seed": 5},
     "select_tlasso": {"solver": "tlasso"},
+    "select_tgp": {"solver": "tgp"},
 }
 
 
